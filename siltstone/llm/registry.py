@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secrets, sharding
+from . import exact_dedup, neighbours, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_neighbours": neighbours.op4_neighbours,
     "op6_sharding": sharding.op6_sharding,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLES = {
