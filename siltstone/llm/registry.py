@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, neighbours, secrets, sharding, toxicity
+from . import exact_dedup, mixing, near_dedup, neighbours, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_neighbours": neighbours.op4_neighbours,
     "op6_sharding": sharding.op6_sharding,
     "op7_secret_scan": secrets.op7_secret_scan,
