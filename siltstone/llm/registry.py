@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, neighbours, packing, secrets, sharding, toxicity
+from . import exact_dedup, lm_scoring, mixing, near_dedup, neighbours, packing, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_neighbours": neighbours.op4_neighbours,
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_sharding": sharding.op6_sharding,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op9_toxicity": toxicity.op9_toxicity,
@@ -17,4 +18,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op5_lm_scoring": lm_scoring.ORACLE,
 }
