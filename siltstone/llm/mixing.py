@@ -132,7 +132,7 @@ class Mix:
         """
         block = self.sources[0].block if self.sources else 1
         parts = self.lines.where("size > 0").withColumn("at", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
-        joined = parts.join(self.slots.withColumnRenamed("block", "at"), ["number", "at"])
+        joined = parts.join(self.slots.withColumnRenamed("block", "at").hint("merge"), ["number", "at"])
         low, high = F.greatest(F.col("at") * block, F.col("start")), F.least(F.col("at") * block + F.col("take"), F.col("start") + F.col("size"))
         return joined.select(
             "number", "start", "row_key", "shard", "slot", "turn", (low - F.col("start")).alias("from_word"), (high - F.col("start")).alias("to_word")
