@@ -44,12 +44,15 @@ def blocks(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
 
 
 def _block(number: int, ids: list[int | None], texts: list[bytes]) -> pa.RecordBatch:
-    packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
     kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-    values = (number, ids, [len(t) for t in texts], packed)
+    values = (number, ids, [len(t) for t in texts], packed_texts(texts))
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["block", "doc_ids", "sizes", "texts"])
 
 
+def packed_texts(texts: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+
+
 def texts_of(sizes: list[int], packed: bytes) -> list[bytes]:
     joined = zstandard.ZstdDecompressor().decompress(packed, max_output_size=max(1, sum(sizes))) if packed else b""
     ends = np.cumsum([0, *sizes]).tolist()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, lm_scoring, mixing, near_dedup, neighbours, packing, secrets, sharding, toxicity
+from . import exact_dedup, lm_scoring, mixing, near_dedup, neighbours, packing, repeats, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_sharding": sharding.op6_sharding,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_repeats": repeats.op8_repeats,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_packing": packing.op10_packing,
 }
