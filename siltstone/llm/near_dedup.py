@@ -6,11 +6,12 @@ some mantissa bits. Bands of registers propose pairs; a Jaccard estimate from
 the registers, corrected for accidental register collisions, discards hopeless
 ones; the full sets decide.
 
-Texts with the same shingle set are one node. Within a band's bucket not all
-pairs are needed, only the components: members are held against a pivot, then
-those that are still apart against further pivots, and in the end exactly the
-pairs that lie in different components, so no link that could join two
-components goes unlooked at.
+Texts with the same shingle set are one node. Nodes that share bands, directly
+or through others, are a cluster. A small cluster is settled by one task; a
+large one is dealt to chunks, which share a few pivots, and what then lies
+outside its largest component is held against all chunks in blocks. Pairs are
+never rows: a block gives at most a spanning forest of its links, and pairs
+that are already joined are passed over.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,59 +80,137 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2 << 20):
-            n, a, b, registers, bands = [], [], [], [], []
+            n, a, b, bands = [], [], [], []
             with np.errstate(over="ignore"):
                 for s in shingle_sets(as_bytes(batch.column(1)), width):
                     n.append(len(s))
                     a.append(int(mixed(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
                     b.append(int(mixed(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).view(np.int64)))
-                    r, k = sketch(s) if len(s) else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
-                    registers.append(r.tobytes())
-                    bands.append(k)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n", "ka", "kb", "registers", "bands"],
-            )
+                    bands.append(sketch(s)[1] if len(s) else np.zeros(0, np.int64))
+            arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, a, b)), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "ka", "kb", "bands"])
 
     return run
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2 << 20):
-            sets = [s.view(np.int64) for s in shingle_sets(as_bytes(batch.column(1)), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    return run
-
-
-class _Nodes:
-    """Registers and full sets of the nodes that share a band with another."""
-
-    def __init__(self, registers: DataFrame, sets: DataFrame, percent: int) -> None:
-        self.registers, self.sets, self.percent = registers, sets, percent
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar enough."""
-        least = self.percent / 100
-
-        @F.pandas_udf("boolean")
-        def hopeful(a: pd.Series, b: pd.Series) -> pd.Series:
-            both = (np.frombuffer(b"".join(x), np.uint16).reshape(len(x), -1) for x in (a, b))
-            guess, on = estimate(*both)
-            return pd.Series(guess >= least - 5 * np.sqrt(least * (1 - least) / np.maximum(on, 1)))
-
-        side = lambda of, x, *cs: of.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cs))
-        near = pairs.join(side(self.registers, "a", "n", "registers"), "a").join(side(self.registers, "b", "n", "registers"), "b")
-        sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
-        near = near.where(sized).where(hopeful("registers_a", "registers_b")).select("a", "b")
-        full = near.join(side(self.sets, "b", "shingles"), "b").join(side(self.sets, "a", "shingles"), "a")
-        common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-        every = F.size("shingles_a") + F.size("shingles_b") - common
-        return written(full.where(common * 100 >= every * self.percent).select("a", "b").distinct(), "near-links")
-
-
-def near_components(docs: DataFrame, width: int = 5, percent: int = 80, pivots: int = 4) -> DataFrame:
+class Forest:
+    """Disjoint sets of nodes that remember the links which joined them."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: int, b: int, by_link: bool = True) -> None:
+        ra, rb = self.root(a), self.root(b)
+        if ra != rb:
+            self.up[max(ra, rb)] = min(ra, rb)
+            if by_link:
+                self.links.append((a, b))
+
+
+class Block:
+    """Nodes with their sets and registers."""
+
+    def __init__(self, nodes: list[int], texts: list[bytes], width: int) -> None:
+        self.nodes = np.array(nodes, np.int64)
+        self.sets = shingle_sets(texts, width)
+        self.n = np.array([len(s) for s in self.sets], np.int64)
+        self.registers = np.stack([sketch(s)[0] for s in self.sets]) if nodes else np.zeros((0, BUCKETS), np.uint16)
+
+    def hopeful(self, k: int, other: Block, least: float) -> np.ndarray:
+        """The members of ``other`` that member ``k`` may be linked with, by size and estimate."""
+        low, high = np.minimum(self.n[k], other.n), np.maximum(self.n[k], other.n)
+        at = np.flatnonzero((low >= least * high) & (low > 0))
+        guess, on = estimate(self.registers[k][None], other.registers[at])
+        return at[guess >= least - 5 * np.sqrt(least * (1 - least) / np.maximum(on, 1))]
+
+
+def join_linked(left: Block, right: Block, percent: int, forest: Forest) -> None:
+    """Joins what is linked by its full sets, unless joined already."""
+    same = left is right
+    for k in range(len(left.nodes)):
+        node = int(left.nodes[k])
+        for j in left.hopeful(k, right, percent / 100).tolist():
+            if same and j <= k or forest.root(node) == forest.root(int(right.nodes[j])):
+                continue
+            x, y = left.sets[k], right.sets[j]
+            at = np.searchsorted(y, x)
+            common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+            if 100 * common >= percent * (len(x) + len(y) - common):
+                forest.join(node, int(right.nodes[j]))
+
+
+def _block(group: pa.Table, width: int) -> Block:
+    by = np.argsort(group["node"].to_numpy(), kind="stable")
+    texts = as_bytes(group["text"].combine_chunks())
+    return Block(group["node"].to_numpy()[by].tolist(), [texts[k] for k in by.tolist()], width)
+
+
+CHUNK = 512
+PIVOTS = 8
+
+
+def _settle_clusters(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links that hold the components of the small clusters together."""
+
+    def settle(group: pa.Table) -> pa.Table:
+        forest, block = Forest(), _block(group, width)
+        join_linked(block, block, percent, forest)
+        return _links(forest)
+
+    return rows.groupBy("cluster").applyInArrow(settle, "a long, b long")
+
+
+def _links(forest: Forest) -> pa.Table:
+    a, b = zip(*forest.links, strict=True) if forest.links else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _settle_large(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """The same for clusters of any size: chunks with shared pivots, then what is apart against all chunks."""
+
+    def settle(group: pa.Table) -> pa.Table:
+        forest, block = Forest(), _block(group, width)
+        join_linked(block, block, percent, forest)
+        return _links(forest)
+
+    chunked = rows.withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    chunked = written(chunked, "near-large")
+    order = "row_number() over (partition by cluster order by xxhash64(1, node), node)"
+    pivots = chunked.withColumn("turn", F.expr(order)).where(F.col("turn") <= PIVOTS)
+    pivots = pivots.select("cluster", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), "node", "text")
+    first = written(chunked.select("cluster", "chunk", "node", "text").union(pivots).dropDuplicates(["cluster", "chunk", "node", "text"]).groupBy("cluster", "chunk").applyInArrow(settle, "a long, b long"), "near-links")
+    labelled = chunked.join(components(first), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    major = labelled.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"))
+    labelled = written(labelled.join(major, "cluster"), "near-labelled")
+    apart = labelled.where("comp != major")
+    sizes = apart.groupBy("cluster").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("shares"))
+    sided = labelled.join(sizes, "cluster")
+    member = F.explode(F.expr("sequence(0, shares - 1)")).alias("share")
+    right = sided.select("cluster", "chunk", member, "node", "text", "comp")
+    asking = sided.where("comp != major").withColumn("share", F.expr("int(pmod(xxhash64(2, node), shares))"))
+    left = asking.select("cluster", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), "share", "node", "text", "comp")
+
+    def across(one: pa.Table, other: pa.Table) -> pa.Table:
+        forest = Forest()
+        for side in (one, other):
+            for node, comp in zip(side["node"].to_pylist(), side["comp"].to_pylist(), strict=True):
+                forest.join(node, comp, by_link=False)
+        if one.num_rows and other.num_rows:
+            join_linked(_block(one, width), _block(other, width), percent, forest)
+        return _links(forest)
+
+    key = ("cluster", "chunk", "share")
+    return first.union(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(across, "a long, b long"))
+
+
+def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """For each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Words are runs that are not white space, A-Z as a-z; the set holds the
@@ -142,64 +220,31 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, pivots:
     blank texts have no shingles and no links: each is its own component. Rows
     that repeat a doc_id are one document with the links of each. A null
     doc_id is in no component (component_id and kept are null). Other columns
-    are not looked at. ``pivots`` bounds the pivot rounds, not what is found.
+    are not looked at.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kind = "doc_id long, n long, ka long, kb long, registers binary, bands array<long>"
+    kind = "doc_id long, n long, ka long, kb long, bands array<long>"
     sketches = written(read.mapInArrow(_sketches(width), kind), "near-sketches")
     known = sketches.where("n > 0 and doc_id is not null")
     classes = written(known.groupBy("ka", "kb").agg(F.min("doc_id").alias("node")), "near-classes")
 
-    placed = known.join(classes.withColumnRenamed("node", "doc_id"), ["ka", "kb", "doc_id"], "left_semi").dropDuplicates(["ka", "kb", "doc_id"])
+    placed = known.join(classes.withColumnRenamed("node", "doc_id"), ["ka", "kb", "doc_id"], "left_semi")
     rows = placed.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("band")
-    members = written(rows.join(shared, "band").distinct(), "near-members")
-    nodes = written(members.select("node").distinct(), "near-nodes")
-    registers = written(known.select(F.col("doc_id").alias("node"), "n", "registers").join(nodes, "node", "left_semi"), "near-registers")
-    sets = written(read.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").mapInArrow(_sets(width), "node long, shingles array<long>"), "near-sets")
-    found = _Nodes(registers, sets, percent)
-
-    joined = found.linked(_against_pivots(members.withColumn("comp", F.col("node")), 0))
-    for turn in range(1, pivots + 2):
-        comps = components(joined)
-        labelled = written(members.join(comps, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp")), "near-labelled")
-        apart, work = _apart(labelled)
-        if not work:
-            break
-        if turn > pivots or work <= 4 * labelled.count():
-            joined = joined.union(found.linked(_across(labelled, apart)))
-            comps = components(joined)
-            break
-        joined = joined.union(found.linked(_against_pivots(labelled.join(apart.select("band"), "band", "left_semi"), turn)))
+    shared = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("band", "low")
+    together = rows.join(shared, "band").where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    clusters = components(together).withColumnRenamed("comp", "cluster")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    members = written(read.withColumnRenamed("doc_id", "node").join(clusters.join(sizes, "cluster"), "node"), "near-members")
+
+    links = _settle_clusters(members.where(F.col("size") <= CHUNK), width, percent)
+    if members.where(F.col("size") > CHUNK).limit(1).count():
+        links = links.union(_settle_large(members.where(F.col("size") > CHUNK), width, percent))
+    comps = components(links)
     by_class = classes.join(comps, "node", "left").select("ka", "kb", F.coalesce("comp", "node").alias("comp"))
     every = sketches.select("doc_id", F.col("n").alias("n_shingles"), "ka", "kb").join(by_class, ["ka", "kb"], "left")
     return every.select("doc_id", "n_shingles", F.expr("if(doc_id is null, null, if(n_shingles > 0, comp, doc_id))").alias("component_id")).withColumn("kept", F.expr("doc_id = component_id"))
 
 
-def _against_pivots(labelled: DataFrame, turn: int) -> DataFrame:
-    """In each bucket, the members of other components than the pivot's, with the pivot."""
-    rank = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
-    pivot = labelled.groupBy("band").agg(F.min_by(F.struct("node", "comp"), rank).alias("pivot"))
-    pairs = labelled.join(pivot, "band").where("comp != pivot.comp")
-    return pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
-
-
-def _apart(labelled: DataFrame) -> tuple[DataFrame, int]:
-    """The buckets with several components, their largest one, and how many pairs are still to be looked at."""
-    sizes = labelled.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    apart = sizes.groupBy("band").agg(F.sum("n").alias("total"), F.max(F.struct("n", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1")
-    apart = written(apart.select("band", F.col("major.comp").alias("major"), F.expr("total * (total - major.n)").alias("work")), "near-apart")
-    return apart, apart.agg(F.sum("work")).first()[0] or 0
-
-
-def _across(labelled: DataFrame, apart: DataFrame) -> DataFrame:
-    """All pairs of a bucket that lie in different components, each once."""
-    here = labelled.join(apart.select("band", "major"), "band")
-    minor = here.where("comp != major").select("band", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-    pairs = minor.join(here, "band").where("comp != comp_a and (comp = major or a < node)")
-    return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-
-
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, with all columns of ``docs``; a document without words stays."""
     stay = near_components(docs, width, percent).where("kept").select(F.col("component_id").alias("_stay")).distinct()
