@@ -11,8 +11,7 @@ begins the next window.
 
 from __future__ import annotations
 
-import os
-import re
+import base64
 import zlib
 from collections.abc import Iterator
 
@@ -26,45 +25,25 @@ from .common import pieces, table, written
 from .shingles import mixed
 
 END = 0
-SPACED = re.compile(r" \s|\s ")
-CACHED = 300_000
 
 
 class Tokenizer:
-    """A tokenizer's ids as little-endian bytes.
+    """Ids of a byte-level vocabulary, given as ranks, with special tokens' strings as ordinary text.
 
-    Its pattern always begins a new piece at a single space between two other
-    characters, so what lies between such spaces is looked up on its own.
+    They are the ids that the same vocabulary's merges give in other libraries.
     """
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer as Loaded
-
-        self.loaded = Loaded.from_file(path)
-        self.loaded.encode_special_tokens = True
-        self.kind = "<u2" if self.loaded.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
+        import public_tokenizers
+        import tiktoken
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.loaded.encode_batch(texts, add_special_tokens=False)]
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.kind = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
+        self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
     def ids(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, self.kind)
-        if SPACED.search(text):
-            return np.frombuffer(self._encoded([text])[0], self.kind)
-        first, *rest = text.split(" ")
-        rest = [" " + w for w in rest]
-        known = self.known
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, [first, *rest])), self.kind)
-        except KeyError:
-            new = list({w for w in (first, *rest) if w not in known})
-            found = dict(zip(new, self._encoded(new), strict=True))
-            if len(known) < CACHED:
-                known.update(found)
-            return np.frombuffer(b"".join([known.get(w) or found.get(w, b"") for w in (first, *rest)]), self.kind)
+        return self.encode(text, disallowed_special=()).astype(self.kind)
 
 
 _LOADED: dict[str, Tokenizer] = {}
@@ -227,7 +206,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = 1024,
     if tokenizer_path is None:
         import public_tokenizers
 
-        tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
+        tokenizer_path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     coded = written(read.mapInArrow(_tokenized(tokenizer_path), "doc_id long, n long, route long, ids binary"), "packing-ids")
     total = coded.agg(F.sum("n")).first()[0] or 0
