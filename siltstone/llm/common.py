@@ -45,6 +45,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Names like the given ones that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """A string or binary column as byte strings, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

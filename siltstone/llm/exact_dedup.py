@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, pieces, table
+from .common import as_bytes, fresh, pieces, table
 
 #: (hash, content, smallest id, rows): what is held of one distinct text.
 Entry = tuple[int, bytes, int, int]
@@ -228,17 +228,18 @@ def exact_duplicates(docs: DataFrame, bucket_bytes: int = 32 << 20) -> DataFrame
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; of rows repeated with the same id, one."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_digest", T.BinaryType())])
+    doc, digest = fresh(docs, "_doc", "_digest")
+    schema = T.StructType([*docs.schema.fields, T.StructField(digest, T.BinaryType())])
     at = docs.columns.index("text")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             found = [hashlib.sha256(normalised(x)).digest() for x in as_bytes(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "_digest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, digest])
 
-    stay = groups(docs).select(F.col("keep_id").alias("_doc"), F.col("digest").alias("_digest"))
-    marked = docs.mapInArrow(digests, schema).withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return marked.join(stay, ["_doc", "_digest"], "left_semi").dropDuplicates(["_doc", "_digest"]).select(*docs.columns)
+    stay = groups(docs).select(F.col("keep_id").alias(doc), F.col("digest").alias(digest))
+    marked = docs.mapInArrow(digests, schema).withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    return marked.join(stay, [doc, digest], "left_semi").dropDuplicates([doc, digest]).select(*docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

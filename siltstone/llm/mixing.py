@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, pieces, table, written
+from .common import as_bytes, fresh, pieces, table, written
 
 #: The weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -247,10 +247,11 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     document that no slot takes is not in the mix.
     """
     drawn = mix(docs, **settings)
-    taken = drawn.taken_pieces().groupBy("row_key", "number", "start", "turn").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("_spans"))
-    rows = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")))
-    rows = rows.dropDuplicates(["_row_key"]).join(taken.select(F.col("row_key").alias("_row_key"), "_spans"), "_row_key")
-    at, spans_at = rows.columns.index("text"), rows.columns.index("_spans")
+    key, found = fresh(docs, "_row_key", "_spans")
+    taken = drawn.taken_pieces().groupBy("row_key", "number", "start", "turn").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias(found))
+    rows = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")))
+    rows = rows.dropDuplicates([key]).join(taken.select(F.col("row_key").alias(key), found), key)
+    at, spans_at = rows.columns.index("text"), rows.columns.index(found)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

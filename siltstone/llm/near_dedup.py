@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces, table, written
+from .common import as_bytes, fresh, pieces, table, written
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -246,9 +246,10 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, with all columns of ``docs``; a document without words stays."""
-    stay = near_components(docs, width, percent).where("kept").select(F.col("component_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi")
+    """One document of each component, with all columns of ``docs``; a document without words, or without an id, stays."""
+    (stay,) = fresh(docs, "_stay")
+    kept = near_components(docs, width, percent).where("kept").select(F.col("component_id").alias(stay)).distinct()
+    return docs.where("doc_id is null").unionByName(docs.join(kept, F.col("doc_id") == F.col(stay), "left_semi"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ class Hashes:
         """Per table and function: the cell, and how far into it the vector lies."""
         p = (unit @ self.a + self.b) / self.width
         cell = np.floor(p)
-        shape = (-1, self.tables, self.functions)
+        shape = (1 if unit.ndim == 1 else len(unit), self.tables, self.functions)
         return cell.astype(np.int64).reshape(shape), ((p - cell) * self.width).reshape(shape)
 
     def names(self, cells: np.ndarray) -> np.ndarray:

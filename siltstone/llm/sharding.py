@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 KEY_BITS = 63
 ID_BITS = 20
@@ -116,7 +116,7 @@ def parts_of(bins: list[Bin], shards: int, wanted: int) -> list[Part]:
 
 
 def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.002, bits: int = 12) -> DataFrame:
-    """``docs`` with size, shard and slot (and what sorts them: ``_key``, ``_part``).
+    """``docs`` with size, shard and slot.
 
     Size is the UTF-8 bytes of the text (null: none) plus 8. Shards have
     nearly equal sizes, within the tolerance or one row; slots number a shard
@@ -126,23 +126,23 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.002, bits: int
     Columns of ``docs`` pass through unless named size, shard or slot, which
     are replaced.
     """
-    keyed = docs.drop("size", "shard", "slot", "_key", "_part", "_before", "_size").withColumns(
-        {"_key": sort_key(F.col("doc_id"), F.col("text")), "_size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8}
-    )
-    bins = histogram(keyed.select("_key", "_size"), shards, tolerance, bits)
+    docs = docs.drop("size", "shard", "slot")
+    key, at, part, before = fresh(docs, "_key", "_at", "_part", "_before")
+    keyed = docs.withColumns({key: sort_key(F.col("doc_id"), F.col("text")), "size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8})
+    bins = histogram(keyed.select(F.col(key).alias("_key"), F.col("size").alias("_size")), shards, tolerance, bits)
     rows = sum(b.rows for b in bins)
     parts = parts_of(bins, shards, max(16 * shards, min(1 << bits, rows // 50_000))) or [Part(0, 0, 0)]
-    lows, shard_of, before = (np.array(x, np.int64) for x in zip(*((p.low, p.shard, p.before) for p in parts), strict=True))
+    lows, shard_of, slots_before = (np.array(x, np.int64) for x in zip(*((p.low, p.shard, p.before) for p in parts), strict=True))
 
     @F.pandas_udf("part int, shard int, before long")
     def place(keys: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for key in keys:
-            at = np.searchsorted(lows, key.to_numpy(), "right") - 1
-            yield pd.DataFrame({"part": at.astype(np.int32), "shard": shard_of[at].astype(np.int32), "before": before[at]})
+            k = np.searchsorted(lows, key.to_numpy(), "right") - 1
+            yield pd.DataFrame({"part": k.astype(np.int32), "shard": shard_of[k].astype(np.int32), "before": slots_before[k]})
 
-    placed = keyed.withColumn("_at", place("_key")).withColumns({"_part": F.col("_at.part"), "shard": F.col("_at.shard"), "_before": F.col("_at.before")}).drop("_at")
-    ordered = F.expr("row_number() over (partition by _part order by _key, doc_id, _size)")
-    return placed.withColumn("slot", (ordered - 1 + F.col("_before")).cast("long")).withColumnRenamed("_size", "size").drop("_before")
+    placed = keyed.withColumn(at, place(key)).withColumns({part: F.col(f"{at}.part"), "shard": F.col(f"{at}.shard"), before: F.col(f"{at}.before")})
+    ordered = F.expr(f"row_number() over (partition by {part} order by {key}, doc_id, size)")
+    return placed.withColumn("slot", (ordered - 1 + F.col(before)).cast("long")).select(*docs.columns, "size", "shard", "slot")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
