@@ -195,10 +195,12 @@ def _settle_large(rows: DataFrame, width: int, percent: int) -> DataFrame:
     member = F.explode(F.expr("sequence(0, shares - 1)")).alias("share")
     right = sided.select("cluster", "chunk", member, "node", "text", "comp")
     asking = sided.where("comp != major").withColumn("share", F.expr("int(pmod(xxhash64(2, node), shares))"))
-    left = asking.select("cluster", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), "share", "node", "text", "comp")
+    left = asking.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
+    names = ("cluster", "chunk", "share", "node", "text", "comp")
+    left = left.select(*(F.col(c).alias(f"{c}_asking") for c in names))  # names of their own, as both sides come from one table
 
     def across(one: pa.Table, other: pa.Table) -> pa.Table:
-        forest = Forest()
+        one, forest = one.rename_columns(list(names)), Forest()
         for side in (one, other):
             for node, comp in zip(side["node"].to_pylist(), side["comp"].to_pylist(), strict=True):
                 forest.join(node, comp, by_link=False)
@@ -206,8 +208,8 @@ def _settle_large(rows: DataFrame, width: int, percent: int) -> DataFrame:
             join_linked(_block(one, width), _block(other, width), percent, forest)
         return _links(forest)
 
-    key = ("cluster", "chunk", "share")
-    return first.union(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(across, "a long, b long"))
+    asked, held = left.groupBy(*(f"{c}_asking" for c in names[:3])), right.groupBy(*names[:3])
+    return first.union(asked.cogroup(held).applyInArrow(across, "a long, b long"))
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
