@@ -40,7 +40,7 @@ def source_tree(spark: SparkSession, root: str, repository: str, extensions: tup
     files = files.where(~F.arrays_overlap(folders, F.array(*map(F.lit, EXCLUDED_FOLDERS))) & ~F.exists(folders, lambda d: d.startswith(".")))
     if extensions:
         files = files.where(extension(F.col("path")).isin(*extensions))
-    out = classified(files.withColumn("text", F.decode("content", F.lit("UTF-8"))))
+    out = classified(files.withColumn("text", F.decode("content", "UTF-8")))
     return out.select(artifact_id(F.lit(repository), F.col("path"), F.col("text")).alias("artifact_id"), F.lit(repository).alias("repository"), "path", "language", "artifact_type", "text")
 
 
