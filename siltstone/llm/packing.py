@@ -76,8 +76,9 @@ class Index:
         self.df = np.diff(np.r_[self.start, len(keys)])
         idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
         self.weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[self.doc] / max(1.0, lengths.mean() if self.n else 1.0)))
-        by = np.lexsort((self.df[term], self.doc))
-        shared = by[self.df[term[by]] > 1]
+        df = self.df[term]
+        shared = np.flatnonzero(df > 1)
+        shared = shared[np.argsort((self.doc[shared] << 32) | df[shared], kind="stable")]
         self.terms = term[shared]
         self.terms_at = np.searchsorted(self.doc[shared], np.arange(self.n + 1))
 
@@ -141,7 +142,7 @@ def _tokenized(path: str):
                 x = np.append(coder.ids(text or ""), np.array([END], coder.kind))
                 t = terms(x[:-1])
                 n.append(len(x))
-                route.append(int(mixed(t.astype(np.uint64)).min() >> np.uint64(1)) if len(t) else 0)
+                route.append(int(t.min()) if len(t) else 0)
                 ids.append(x.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(route, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "route", "ids"])
 
