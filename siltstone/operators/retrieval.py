@@ -34,8 +34,11 @@ def dense(queries: DataFrame, items: DataFrame, k: int, threshold: float = 0.0,
     ``items`` (item_id, vector). Scores below a positive threshold are cut.
     Null vectors take no part. Ties go to the smaller item_id.
     """
-    scored = items.where("vector is not null").join(small(queries.where("query_vector is not null")), how="cross")
-    scored = scored.withColumn("score", vectors.METRICS[metric](F.col("query_vector"), F.col("vector")))
+    length = lambda c: vectors.norm(F.col(c)) if metric == "cosine" else F.lit(1.0)
+    held, asked = items.where("vector is not null"), queries.where("query_vector is not null")
+    held, asked = held.withColumn("_length", length("vector")), asked.withColumn("_query_length", length("query_vector"))
+    score = vectors.METRICS["dot" if metric == "cosine" else metric](F.col("query_vector"), F.col("vector"))
+    scored = held.join(small(asked), how="cross").withColumn("score", score / F.nullif(F.col("_length") * F.col("_query_length"), F.lit(0.0)))
     if exclude_self:
         scored = scored.where("item_id != query_id")
     if threshold > 0:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions import text as T
+from siltstone.functions.embedding import hashed_embedding
 from siltstone.operators import constraints as V
+from siltstone.operators import gate as G
 from siltstone.operators import ingest as I
+from siltstone.operators import retrieval as R
 from siltstone.operators import stats as S
+from siltstone.plans import adaptive
 from siltstone.sources import storage
 from siltstone.sources.files import json_log
 from siltstone.sources.tables import read
@@ -83,6 +88,38 @@ def upserted(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(norm2), 5).alias("norm2"))
 
 
+def adaptive_rungs(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns asked of all documents by their own strategies; the answer is the best document's words, judged by how many of the question's it has."""
+    docs = read(spark, sf, "documents")
+    turns = read(spark, sf, "conversations").where("role = 'user'")
+    queries = turns.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("text").alias("query_text"))
+    tokens = lambda c: F.array_distinct(T.words(F.lower(c)))
+    items = docs.select(F.col("doc_id").alias("item_id"), hashed_embedding(tokens(F.col("text"))).alias("vector"))
+    asking = queries.select("query_id", hashed_embedding(tokens(F.col("query_text"))).alias("query_vector"))
+    paths = {leg: storage.shared_path(spark, leg) for leg in ("dense", "sparse")}
+    R.dense(asking, items, adaptive.WIDEST).write.parquet(paths["dense"])
+    R.bm25(queries, docs, tokens, adaptive.WIDEST).withColumnRenamed("doc_id", "item_id").write.parquet(paths["sparse"])
+    dense, sparse = spark.read.parquet(paths["dense"]), spark.read.parquet(paths["sparse"])
+
+    def attempt(plan: DataFrame, rung: int) -> DataFrame:
+        ranked = adaptive.retrieve(plan, dense, sparse)
+        best = ranked.where("rank = 1").join(docs.select(F.col("doc_id").alias("item_id"), F.col("text").alias("answer")), "item_id").select("query_id", "item_id", "answer", "score")
+        out = plan.select("query_id", "query_text", "strategy", "quality_threshold").join(best, "query_id", "left")
+        quality = F.when(F.col("answer").isNotNull(), G.query_relevance(F.col("query_text"), F.col("answer")))
+        return out.select("query_id", "strategy", "item_id", quality.alias("quality"), F.coalesce(quality >= F.col("quality_threshold"), F.lit(False)).alias("passed"))
+
+    tried = adaptive.until_passed(adaptive.initial_plan(queries), attempt)
+    return tried.groupBy("rung", "strategy").agg(F.count("*").alias("n"), F.count_if(F.col("passed")).alias("n_passed"), F.count("item_id").alias("n_answered"))
+
+
+def unit_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event type on every user three times, in a seeded order within each round."""
+    e = read(spark, sf, "events")
+    units = e.select("event_type", "user_id").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    units = units.withColumn("unit_id", F.concat_ws("-", "event_type", "user_id", "trial"))
+    return units.withColumn("position", F.row_number().over(Window.partitionBy("trial").orderBy(F.md5(F.concat_ws(":", F.lit("42"), "trial", "unit_id"))))).select("unit_id", "trial", "position")
+
+
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return streams.drained(streams.first_seen(streams.events(spark, sf), "user_id", "event_type"), "append")
 
@@ -108,7 +145,7 @@ def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        document_chunks, chunk_violations, trial_audit, gapless_violations, hysteresis, stable_state, nearest_rank, round_robin_sample, log_round_trip, upserted, stream_dedup, stream_tumbling, stream_sliding, stream_sessions, stream_latest,
+        document_chunks, chunk_violations, adaptive_rungs, unit_plan, trial_audit, gapless_violations, hysteresis, stable_state, nearest_rank, round_robin_sample, log_round_trip, upserted, stream_dedup, stream_tumbling, stream_sliding, stream_sessions, stream_latest,
     )
 }
 
@@ -126,6 +163,8 @@ SELECT o_orderpriority, max(o_totalprice) FILTER (WHERE pos = round_even((n - 1)
 SELECT * FROM o ORDER BY turn, o_orderpriority, o_orderstatus LIMIT 1000""",
     "log_round_trip": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1",
     "upserted": """SELECT label, count(*) AS n, round(avg(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) * CASE WHEN label = 0 THEN 4 ELSE 1 END), 5) AS norm2 FROM embeddings WHERE label <> 1 GROUP BY label""",
+    "unit_plan": """WITH u AS (SELECT DISTINCT event_type, user_id FROM events), t AS (SELECT event_type || '-' || user_id || '-' || trial AS unit_id, trial FROM u, (SELECT unnest([0, 1, 2]) AS trial))
+SELECT unit_id, trial, row_number() OVER (PARTITION BY trial ORDER BY md5('42:' || trial || ':' || unit_id)) AS position FROM t""",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_tumbling": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "stream_sliding": """SELECT w AS window_start, count(*) AS n, round(max(value), 6) AS peak FROM (SELECT value, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS w FROM events
