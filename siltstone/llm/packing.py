@@ -190,7 +190,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names)
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = 1024, query_terms: int = 24, shard_tokens: int = 4_000_000, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = 1024, query_terms: int = 24, shard_tokens: int = 2_000_000, with_ids: bool = False) -> DataFrame:
     """The pieces of all of ``docs``: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its tokens and a closing id 0; a null or empty text is that
