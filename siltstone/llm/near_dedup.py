@@ -233,10 +233,13 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     placed = known.join(classes.withColumnRenamed("node", "doc_id"), ["ka", "kb", "doc_id"], "left_semi")
     rows = placed.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("band", "low")
-    together = rows.join(shared, "band").where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    together = rows.join(shared.hint("merge"), "band").where("node != low").select("low", "node").distinct()
+    # for being connected, a node's least low and that low's links to its others are enough
+    least = together.withColumn("a", F.expr("min(low) over (partition by node)"))
+    together = least.select("a", F.col("node").alias("b")).union(least.where("a != low").select("a", F.col("low").alias("b"))).distinct()
     clusters = components(together).withColumnRenamed("comp", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    members = written(read.withColumnRenamed("doc_id", "node").join(clusters.join(sizes, "cluster"), "node"), "near-members")
+    members = written(read.withColumnRenamed("doc_id", "node").join(clusters.join(sizes, "cluster").hint("merge"), "node"), "near-members")
 
     links = _settle_clusters(members.where(F.col("size") <= CHUNK), width, percent)
     if members.where(F.col("size") > CHUNK).limit(1).count():
