@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.functions import vectors
 from siltstone.operators import classify as C
 from siltstone.operators import gate as G
 from siltstone.operators import ingest as I
