@@ -4,8 +4,8 @@ Documents are tokenized once and dealt to index shards of bounded size by the
 range of a min-hash of their terms, so documents that share terms tend to share
 a shard, while ties are broken by a hash of the id and no group of copies can
 outgrow a shard. A shard is a BM25 inverted index over adjacent token pairs. It
-is asked, for the document that begins a window, for its best unused
-neighbours; these fill the window greedily, and the one that is cut at its end
+is asked, for the document that begins a window and with all of its pairs, for
+its best unused neighbours in the shard; these fill the window greedily, and the one that is cut at its end
 begins the next window.
 """
 
@@ -82,25 +82,35 @@ class Index:
         self.terms = term[shared]
         self.terms_at = np.searchsorted(self.doc[shared], np.arange(self.n + 1))
 
-    def neighbours(self, doc: int, unused: np.ndarray, query_terms: int) -> np.ndarray:
-        """The unused documents that share any of the query's rarest terms, best first."""
-        asked = self.terms[self.terms_at[doc] : min(self.terms_at[doc + 1], self.terms_at[doc] + query_terms)]
+    def neighbours(self, doc: int, unused: np.ndarray, query_terms: int | None = None) -> np.ndarray:
+        """The unused documents that share any of the query's terms (or of its ``query_terms`` rarest), best first."""
+        asked = self.terms[self.terms_at[doc] : self.terms_at[doc + 1]][:query_terms]
         if not len(asked):
             return asked
-        at = np.concatenate([np.arange(s, s + n) for s, n in zip(self.start[asked].tolist(), self.df[asked].tolist(), strict=True)])
-        there = self.doc[at]
-        open_ = unused[there]
-        found, which = np.unique(there[open_], return_inverse=True)
-        score = np.bincount(which, self.weight[at][open_], len(found))
-        return found[np.lexsort((found, -score))]
-
-
-def arranged(docs: list[np.ndarray], window: int, query_terms: int) -> list[int]:
+        sizes = self.df[asked]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.start[asked] - ends + sizes, sizes) + np.arange(ends[-1])
+        score = np.bincount(self.doc[at], self.weight[at], self.n)
+        found = np.flatnonzero(unused & (score > 0))
+        return found[np.argsort(-score[found], kind="stable")]
+
+    def drop_used(self, unused: np.ndarray) -> None:
+        """Leaves the postings of unused documents only; no answer changes."""
+        stays = unused[self.doc]
+        before = np.r_[0, np.cumsum(stays)]
+        self.start, self.df = before[self.start], before[self.start + self.df] - before[self.start]
+        self.doc, self.weight = self.doc[stays], self.weight[stays]
+
+
+def arranged(docs: list[np.ndarray], window: int, query_terms: int | None = None) -> list[int]:
     """The documents in packing order: each window filled with the unused neighbours of the one that begins it."""
     index = Index(docs)
     unused, order, filled = np.ones(len(docs), bool), [], 0
-    seed, following = -1, 0
+    seed, following, kept = -1, 0, len(docs)
     while len(order) < len(docs):
+        if len(docs) - len(order) < kept * 3 // 4:
+            kept = len(docs) - len(order)
+            index.drop_used(unused)
         if seed < 0:
             while not unused[following]:
                 following += 1
@@ -152,7 +162,7 @@ def _tokenized(path: str):
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _packed(kind: str, window: int, query_terms: int, with_ids: bool):
+def _packed(kind: str, window: int, query_terms: int | None, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc_ids: list[int | None] = []
         docs: list[np.ndarray] = []
@@ -190,7 +200,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names)
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = 1024, query_terms: int = 24, shard_tokens: int = 4_000_000, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = 1024, query_terms: int | None = None, shard_tokens: int = 4_000_000, with_ids: bool = False) -> DataFrame:
     """The pieces of all of ``docs``: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its tokens and a closing id 0; a null or empty text is that
@@ -200,8 +210,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = 1024,
     other; an empty table gives no pieces. Other columns are not looked at.
     ``with_ids`` adds the pieces' ids as little-endian unsigned 32-bit numbers.
 
-    A query is a document's ``query_terms`` rarest shared terms. An index
-    shard holds about ``shard_tokens``, so a task's memory is bounded and the
+    A query is all of a document's terms, or its ``query_terms`` rarest shared
+    ones if that is given. An index shard holds about ``shard_tokens``, so a task's memory is bounded and the
     number of shards follows the input.
     """
     if tokenizer_path is None:

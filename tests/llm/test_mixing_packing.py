@@ -1,3 +1,4 @@
+import inspect
 import re
 import zlib
 from collections import defaultdict
@@ -102,6 +103,53 @@ def test_neighbours_share_terms():
     assert P.cuts(2 * 64 + 21, 64) == [0, 64, 128, 144, 148]
 
 
+def test_packing_scores_all_shared_terms():
+    rare = [[1000 + 2 * k, 1001 + 2 * k] for k in range(30)]
+    common = list(range(1, 60))
+    docs = [np.array([*common, *(x for pair in rare for x in pair), 0])]
+    docs += [np.array([*pair, 2000 + k, 0]) for k, pair in enumerate(rare)]
+    docs += [np.array([*common, 3000 + k, 0]) for k in range(3)]
+    asked = inspect.signature(P.pack).parameters["query_terms"].default
+    assert P.arranged(docs, 1024, asked)[1] in {31, 32, 33}
+
+
+def test_packing_order_matches_brute_force():
+    rng = np.random.default_rng(4)
+    docs = [np.r_[rng.zipf(1.5, rng.integers(1, 60)) % 50 + 1, 0] for _ in range(150)]
+    grams = [list(zip(d[:-2].tolist(), d[1:-1].tolist(), strict=True)) for d in docs]
+    df = defaultdict(int)
+    for g in grams:
+        for x in set(g):
+            df[x] += 1
+    mean = sum(map(len, docs)) / len(docs)
+
+    def score(a, b):
+        shared = set(grams[a]) & set(grams[b])
+        parts = [(np.log1p((150 - df[x] + 0.5) / (df[x] + 0.5)), grams[b].count(x)) for x in shared]
+        return round(sum(i * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(docs[b]) / mean)) for i, n in parts), 9)
+
+    want, unused, filled, seed = [], set(range(150)), 0, None
+    while unused:
+        if seed is None:
+            seed = min(unused)
+            unused.remove(seed)
+            want.append(seed)
+            filled += len(docs[seed])
+        end, cut = -(-filled // 64) * 64, None
+        ranked = sorted((-score(seed, b), b) for b in unused) if filled < end else []
+        for s, b in ranked:
+            if s == 0:
+                break
+            unused.remove(b)
+            want.append(b)
+            filled += len(docs[b])
+            if filled >= end:
+                cut = b if filled > end else None
+                break
+        seed = cut
+    assert P.arranged(docs, 64) == want
+
+
 def test_empty_tables(spark):
     docs = cases.table(spark, [])
     assert M.mix(docs).taken().count() == 0 and M.mixed_documents(docs).count() == 0
