@@ -7,6 +7,10 @@ ones in the order of their estimated chance of success, which is that of the
 summed squared distances to the cell borders crossed. What the visited buckets
 of all tables hold is merged and ranked by the exact cosine.
 
+How many projections a table has is fitted: the exact neighbours of a bounded
+sample of queries must be found among the visited buckets, so a larger table
+gets narrower buckets only as far as its recall stays.
+
 Equal vectors are one entry of the index that carries the smallest ids, as
 many as a result can hold; so neither a vector that is very common nor a query
 that is asked by very many rows multiplies anything.
@@ -90,7 +94,75 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     return first.groupBy("key").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v"))
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = 14, width: float = 2.6, probes: int = 80, unit_rows: int = 4096, unit_most: int = 20_000) -> DataFrame:
+def visited(h: Hashes, unit: np.ndarray, probes: int) -> list[np.ndarray]:
+    """For each table, the names of the buckets that a query visits."""
+    cell, into = (x[0] for x in h.cells(unit))
+    out = []
+    for t in range(h.tables):
+        moved = perturbations(into[t], h.width, probes)
+        around = np.repeat(cell[t][None], len(moved), axis=0)
+        for row, steps in zip(around, moved, strict=True):
+            for f, step in steps:
+                row[f] += step
+        spread = np.zeros((len(moved), h.tables, h.functions), np.int64)
+        spread[:, t] = around
+        out.append(h.names(spread)[:, t])
+    return out
+
+
+def sampled_neighbours(index: DataFrame, queries: DataFrame, k: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Up to ``most`` queries of each length, as unit vectors, with their ``k`` exact nearest among all other entries."""
+    chosen = queries.withColumn("n", F.expr("row_number() over (partition by size(v) order by key)")).where(F.col("n") <= most).select("v").collect()
+    by_size: dict[int, list[np.ndarray]] = {}
+    for (v,) in chosen:
+        u = np.asarray(v, np.float64) / np.abs(v).max()
+        by_size.setdefault(len(u), []).append(u / np.linalg.norm(u))
+    held = {size: np.array(x) for size, x in by_size.items()}
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            units = [u / np.linalg.norm(u) for u in _units(batch, 0)]
+            for size, q in held.items():
+                same = [u for u in units if len(u) == size]
+                if same:
+                    score = q @ np.array(same).T
+                    for a, row in enumerate(score):
+                        top = np.argsort(-row, kind="stable")[: k + 1].tolist()
+                        best[size, a] = sorted([*best.get((size, a), []), *((float(row[b]), same[b].tolist()) for b in top)], key=lambda x: -x[0])[: k + 1]
+        rows = [(size, a, s, v) for (size, a), found in best.items() for s, v in found]
+        if rows:
+            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["size", "a", "score", "v"])
+
+    found = index.select("v").mapInArrow(near, "size int, a int, score double, v array<double>")
+    found = found.withColumn("n", F.expr("row_number() over (partition by size, a order by score desc)")).where(F.col("n").between(2, k + 1))
+    lists: dict[tuple[int, int], list] = {}
+    for r in found.select("size", "a", "v").collect():
+        lists.setdefault((r.size, r.a), []).append(r.v)
+    return [(held[size][a], np.array(v)) for (size, a), v in sorted(lists.items())]
+
+
+def fitted_functions(sample: list[tuple[np.ndarray, np.ndarray]], most: int, tables: int, width: float, probes: int, recall: float) -> int:
+    """The largest number of projections, up to ``most``, with which the sample's neighbours of every length are found; 0 (all rows are one bucket) if none is."""
+    for functions in range(most, 0, -1):
+        hits: dict[int, list[bool]] = {}
+        hashes: dict[int, Hashes] = {}
+        for q, near in sample:
+            h = hashes.setdefault(len(q), Hashes(len(q), tables, functions, width))
+            names = h.names(h.cells(near)[0])
+            found = np.zeros(len(near), bool)
+            for t, there in enumerate(visited(h, q, probes)):
+                found |= np.isin(names[:, t], there)
+            hits.setdefault(len(q), []).extend(found.tolist())
+        if all(np.mean(x) >= recall for x in hits.values()):
+            return functions
+    return 0
+
+
+def nearest(
+    vectors: DataFrame, k: int = 5, every: int = 50, tables: int = 14, width: float = 2.6, probes: int = 80, unit_rows: int = 4096, unit_most: int = 20_000, recall: float = 0.95, sample: int = 64
+) -> DataFrame:
     """The ``k`` rows found nearest to each query: query_id, rank, vec_id, score.
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates
@@ -102,12 +174,16 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = 14, w
     table gives none. Other columns are not looked at.
 
     ``unit_rows`` is how many index entries are exchanged as one unit, and a
-    unit beyond ``unit_most`` is split: the index is never capped.
+    unit beyond ``unit_most`` is split: the index is never capped. ``recall``
+    is what the exact neighbours of ``sample`` queries of each length must
+    reach at least when the number of projections is fitted.
     """
     rows = usable(vectors)
     index = written(distinct_vectors(rows, k + 1), "neighbours-distinct")
     n = index.count()
-    functions = max(1, int(math.log2(n)) - 3) if n > 64 else 0
+    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", F.struct(F.xxhash64(F.lit(1), "v").alias("a"), F.xxhash64(F.lit(2), "v").alias("b")).alias("key"))
+    asking = index.join(asked.select("key").distinct(), "key", "left_semi").select("key", "v")
+    functions = fitted_functions(sampled_neighbours(index, asking, k, sample), max(1, int(math.log2(n)) - 3), tables, width, probes, recall) if n > 64 else 0
     cells_per_table = max(8, n // unit_rows)
 
     def hashed(dim: int, cache: dict[int, Hashes] = {}) -> Hashes:  # noqa: B006 - one per worker
@@ -124,26 +200,13 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = 14, w
         for batch in batches:
             names = []
             for u in _units(batch, 1):
-                h = hashed(len(u))
-                cell, into = (x[0] for x in h.cells(u / np.linalg.norm(u)))
-                own = []
-                for t in range(h.tables):
-                    moved = perturbations(into[t], width, probes)
-                    around = np.repeat(cell[t][None], len(moved), axis=0)
-                    for row, steps in zip(around, moved, strict=True):
-                        for f, step in steps:
-                            row[f] += step
-                    spread = np.zeros((len(moved), h.tables, functions), np.int64)
-                    spread[:, t] = around
-                    own.append(h.names(spread)[:, t].tolist())
-                names.append([x for part in own for x in part])
+                names.append(np.concatenate(visited(hashed(len(u)), u / np.linalg.norm(u), probes)).tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.list_(pa.int64()))], ["key", "v", "names"])
 
     kind = "key struct<a:long,b:long>, v array<double>, names array<long>"
     unit = F.struct(F.size("v").alias("dim"), F.pmod("name", F.lit(cells_per_table * tables)).alias("cell"))
     placed = index.select("key", "v").mapInArrow(entries, kind).withColumn("name", F.explode("names")).select(unit.alias("unit"), "name", "key", "v")
-    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", F.struct(F.xxhash64(F.lit(1), "v").alias("a"), F.xxhash64(F.lit(2), "v").alias("b")).alias("key"))
-    queries = index.join(asked.select("key").distinct(), "key", "left_semi").select("key", "v").mapInArrow(visits, kind)
+    queries = asking.mapInArrow(visits, kind)
     queries = queries.withColumn("name", F.explode("names")).select(unit.alias("unit"), "name", "key", "v")
     queries = queries.groupBy("unit", "key").agg(F.collect_list("name").alias("names"), F.first("v").alias("v"))
     large = written(placed.groupBy("unit").count().where(F.col("count") > unit_most).select("unit", F.ceil(F.col("count") / unit_most).cast("int").alias("pieces")), "neighbours-large")
