@@ -10,6 +10,7 @@ QUERIES = {
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_neighbours": neighbours.op4_neighbours,
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
+    "op5_lm_scoring_trigrams": lm_scoring.op5_lm_scoring_trigrams,
     "op6_sharding": sharding.op6_sharding,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_repeats": repeats.op8_repeats,

@@ -16,6 +16,7 @@ from siltstone.llm import neighbours as K
 from siltstone.llm import repeats as R
 from siltstone.llm import secrets as X
 from siltstone.llm import toxicity as T
+from siltstone.llm.registry import QUERIES
 from siltstone.llm.shingles import word_hashes
 
 from . import cases
@@ -105,6 +106,15 @@ def test_backoff_scores_match_brute_force(spark, order):
     assert [g[2] for g in got] == [pytest.approx(w[2], abs=1e-8) if w[2] is not None else None for w in sorted(want, key=str)]
 
 
+def test_registered_trigrams_count(spark, tmp_path):
+    cases.table(spark, [(k, t, "en", "s", 1) for k, t in enumerate(["a b c", "a b c", "x b", "x b c"])]).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.score for r in QUERIES["op5_lm_scoring_trigrams"](spark, str(tmp_path)).collect()}
+    first, second, third = 1 / 8, 1 / 1, 1 / 1
+    assert found[0] == pytest.approx(math.log(first * second * third) / 3, abs=1e-6)
+    bigram = {r.doc_id: r.score for r in QUERIES["op5_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert bigram[0] == pytest.approx(math.log(first * second * 2 / 3) / 3, abs=1e-6)
+
+
 @pytest.mark.parametrize("length", [20, 200])
 def test_repeats_match_brute_force(spark, length):
     data = cases.rows() + [(200, "ab" * 300, None, None, None), (201, "xyz" * 90, None, None, None), (202, "abc" * 80 + "q" * 230, None, None, None)]
