@@ -11,7 +11,7 @@ from siltstone.operators import constraints as V
 from siltstone.operators import gate as G
 from siltstone.operators import graph as K
 from siltstone.operators import retrieval as R
-from siltstone.plans import adaptive
+from siltstone.plans import adaptive, pipeline_queries
 from siltstone.sources import files, storage
 
 
@@ -93,3 +93,17 @@ def test_more_sources(spark, tmp_path):
 def test_hashed_embeddings_have_length_one(spark):
     rows = spark.createDataFrame([(["a", "b", "a"],), ([],), (None,)], "t array<string>").select(hashed_embedding("t").alias("v")).collect()
     assert sum(x * x for x in rows[0].v) == pytest.approx(1.0, abs=1e-6) and rows[1].v is None and rows[2].v is None
+
+
+def test_streams_count_rows_of_many_files_in_any_order(spark, tmp_path):
+    days = [(7 * k) % 71 for k in range(280)]
+    rows = [(k, 1, f"2024-01-01 {k % 24:02d}:00:00", "view", float(day), day) for k, day in enumerate(days)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string, value double, day int")
+    df = df.withColumn("ts", F.col("ts").cast("timestamp") + F.make_dt_interval("day")).drop("day")
+    for part in df.randomSplit([1.0] * 4, 1):
+        part.repartition(70).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    assert len(list((tmp_path / "events.parquet").glob("part-*"))) > 3 * 64
+    found = pipeline_queries.QUERIES["stream_tumbling"](spark, str(tmp_path)).collect()
+    assert sum(r.n for r in found) == 280
+    found = pipeline_queries.QUERIES["stream_sliding"](spark, str(tmp_path)).collect()
+    assert sum(r.n for r in found) == 560
