@@ -1,10 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read the words of a clause as symbols: insult, threat,
-target, negation and reported speech. Their composition is one machine whose
+Three small transducers read the words of a clause as symbols: target, negation
+and reported speech. Insult and threat are looked up word by word. The composition is one machine whose
 arcs carry what a clause so far amounts to; an offence that is denied, or only
 reported, leaves by another arc than one aimed at somebody. A document's score
-comes from its matched clauses, not from words alone.
+sums what its offending words carry, those outside any frame as plain.
 
 The entries of the insult lexicon, words and word beginnings, and the weights
 of the arcs are learned from labelled rows that are not held out.
