@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """For each node of ``links`` (a, b): node and comp, the smallest node that it reaches.
 
     Each round takes the smallest label among neighbours and then the label's
@@ -17,7 +17,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     both = written(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), "labels")
-    for _ in range(most_rounds):
+    while True:
         heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("heard"))
         near = labels.join(heard, labels["node"] == heard["a"]).select("node", F.least("comp", "heard").alias("comp"), F.col("comp").alias("was"))
         up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
@@ -25,4 +25,3 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = new.select("node", "comp")
         if not new.where("comp != was").limit(1).count():
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

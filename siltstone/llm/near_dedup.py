@@ -7,11 +7,14 @@ the registers, corrected for accidental register collisions, discards hopeless
 ones; the full sets decide.
 
 Texts with the same shingle set are one node. Nodes that share bands, directly
-or through others, are a cluster. A small cluster is settled by one task; a
-large one is dealt to chunks, which share a few pivots, and what then lies
-outside its largest component is held against all chunks in blocks. Pairs are
-never rows: a block gives at most a spanning forest of its links, and pairs
-that are already joined are passed over.
+or through others, are a cluster. A small cluster is settled by one task. A
+large one is dealt to chunks, which share a few pivots; most of what is truly
+linked is joined by that. What is still apart is held against the rest in
+blocks, either of the whole cluster or of each band's group by itself,
+whichever carries fewer rows: where many near copies leave few apart the
+cluster, where many texts share bands but no links the groups. Pairs are never
+rows: a block gives at most a spanning forest of its links, and pairs that are
+already joined are passed over.
 """
 
 from __future__ import annotations
@@ -47,11 +50,17 @@ def register_values(rest: np.ndarray) -> np.ndarray:
     return (((zeros + 1) << MANTISSA_BITS) | ((below << up) >> down).astype(np.int64)).astype(np.uint16)
 
 
+def _least_salted(hashes: np.ndarray, empty: np.ndarray) -> np.ndarray:
+    """For each empty bucket the place of the hash that is smallest once salted."""
+    step = max(1, (1 << 18) // len(hashes))
+    return np.concatenate([mixed(hashes[None, :] ^ _SALT[empty[k : k + step], None]).argmin(1) for k in range(0, len(empty), step)])
+
+
 def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of a sorted set of hashes: the registers (0: empty bucket) and the band keys.
 
-    For banding, an empty bucket borrows the register of a filled one, chosen
-    by the smallest hash of that bucket's minimum and the empty one's number.
+    For banding, an empty bucket has the register of the hash of the set that
+    is smallest once salted by the bucket's number.
     """
     registers = np.zeros(BUCKETS, np.uint16)
     bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
@@ -62,7 +71,8 @@ def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(filled) < BUCKETS:
         empty = np.flatnonzero(registers == 0)
         lent = registers.copy()
-        lent[empty] = registers[filled[mixed(least[None, :] ^ _SALT[empty, None]).argmin(1)]]
+        chosen = hashes[_least_salted(hashes, empty)]
+        lent[empty] = register_values(chosen & np.uint64((1 << 64 - BUCKET_BITS) - 1))
     with np.errstate(over="ignore"):
         rows = lent[: BAND_ROWS * BANDS].reshape(BANDS, BAND_ROWS).astype(np.uint64)
         bands = mixed((mixed(rows + np.uint64(1)) * _ODD).sum(1) + _SALT[:BANDS])
@@ -80,15 +90,15 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2 << 20):
-            n, a, b, bands = [], [], [], []
+            n, a, b, bands, texts = [], [], [], [], as_bytes(batch.column(1))
             with np.errstate(over="ignore"):
-                for s in shingle_sets(as_bytes(batch.column(1)), width):
+                for s in shingle_sets(texts, width):
                     n.append(len(s))
                     a.append(int(mixed(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
                     b.append(int(mixed(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).view(np.int64)))
                     bands.append(sketch(s)[1] if len(s) else np.zeros(0, np.int64))
-            arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, a, b)), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "ka", "kb", "bands"])
+            arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, a, b, map(len, texts))), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "ka", "kb", "bytes", "bands"])
 
     return run
 
@@ -152,19 +162,14 @@ def _block(group: pa.Table, width: int) -> Block:
     return Block(group["node"].to_numpy()[by].tolist(), [texts[k] for k in by.tolist()], width)
 
 
-CHUNK = 512
+#: A chunk holds about this many nodes and bytes of text; both bounds hold for a small cluster.
+CHUNK, CHUNK_BYTES = 512, 16 << 20
 PIVOTS = 8
 
 
-def _settle_clusters(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): links that hold the components of the small clusters together."""
-
-    def settle(group: pa.Table) -> pa.Table:
-        forest, block = Forest(), _block(group, width)
-        join_linked(block, block, percent, forest)
-        return _links(forest)
-
-    return rows.groupBy("cluster").applyInArrow(settle, "a long, b long")
+def _chunks(n: str, size: str) -> str:
+    """SQL for how many chunks ``n`` nodes of ``size`` bytes need."""
+    return f"int(greatest(ceil({n} / {CHUNK}), ceil({size} / {CHUNK_BYTES}), 1))"
 
 
 def _links(forest: Forest) -> pa.Table:
@@ -172,32 +177,56 @@ def _links(forest: Forest) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _settle_large(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """The same for clusters of any size: chunks with shared pivots, then what is apart against all chunks."""
+def _settle(rows: DataFrame, by: tuple[str, ...], width: int, percent: int) -> DataFrame:
+    """(a, b): links that hold the components of each group of ``rows`` together."""
 
     def settle(group: pa.Table) -> pa.Table:
         forest, block = Forest(), _block(group, width)
         join_linked(block, block, percent, forest)
         return _links(forest)
 
-    chunked = rows.withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    return rows.groupBy(*by).applyInArrow(settle, "a long, b long")
+
+
+def _groups_apart(members: DataFrame, bands: DataFrame) -> DataFrame:
+    """What is to be held against what: part, node, comp, apart, chunks, shares.
+
+    ``members`` (cluster, node, bytes, comp) are labelled by what is joined
+    already, ``bands`` (node, band) their bands. A part is a whole cluster or
+    one band's group; of a part's nodes those outside its largest component
+    are apart. A part without any is left out.
+    """
+    whole = members.select("cluster", F.lit(None).cast("long").alias("band"), "node", "bytes", "comp")
+    grouped = members.join(bands, "node").select("cluster", "band", "node", "bytes", "comp")
+    every = whole.union(grouped).withColumn("part", F.struct("cluster", "band"))
+    comps = every.groupBy("part", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    parts = comps.groupBy("part").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("b").alias("b")).where("n > most")
+    parts = parts.withColumn("chunks", F.expr(_chunks("n", "b"))).withColumn("shares", F.expr(_chunks("(n - most)", "b * (n - most) / n")))
+    parts = written(parts.withColumn("cost", F.expr("n * shares + (n - most) * chunks")), "near-parts")
+    cost = parts.groupBy("part.cluster").agg(F.sum(F.when(F.col("part.band").isNull(), F.col("cost"))).alias("by_cluster"), F.sum(F.when(F.col("part.band").isNotNull(), F.col("cost"))).alias("by_band"))
+    chosen = parts.join(cost, F.col("part.cluster") == cost["cluster"]).where("(part.band is null) = (by_cluster <= coalesce(by_band, 0))")
+    return every.select("part", "node", "comp").join(chosen.select("part", "major", "chunks", "shares"), "part").withColumn("apart", F.expr("comp != major")).drop("major")
+
+
+def _settle_large(rows: DataFrame, bands: DataFrame, width: int, percent: int) -> DataFrame:
+    """The same for clusters of any size: chunks with shared pivots, then what is apart against the rest of its part."""
+    chunked = rows.withColumn("chunks", F.expr(_chunks("size", "cluster_bytes"))).withColumn("chunk", F.expr("int(pmod(xxhash64(node), chunks))"))
     chunked = written(chunked, "near-large")
     order = "row_number() over (partition by cluster order by xxhash64(1, node), node)"
     pivots = chunked.withColumn("turn", F.expr(order)).where(F.col("turn") <= PIVOTS)
     pivots = pivots.select("cluster", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), "node", "text")
-    first = written(chunked.select("cluster", "chunk", "node", "text").union(pivots).dropDuplicates(["cluster", "chunk", "node", "text"]).groupBy("cluster", "chunk").applyInArrow(settle, "a long, b long"), "near-links")
-    labelled = chunked.join(components(first), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    major = labelled.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"))
-    labelled = written(labelled.join(major, "cluster"), "near-labelled")
-    apart = labelled.where("comp != major")
-    sizes = apart.groupBy("cluster").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("shares"))
-    sided = labelled.join(sizes, "cluster")
-    member = F.explode(F.expr("sequence(0, shares - 1)")).alias("share")
-    right = sided.select("cluster", "chunk", member, "node", "text", "comp")
-    asking = sided.where("comp != major").withColumn("share", F.expr("int(pmod(xxhash64(2, node), shares))"))
-    left = asking.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
-    names = ("cluster", "chunk", "share", "node", "text", "comp")
-    left = left.select(*(F.col(c).alias(f"{c}_asking") for c in names))  # names of their own, as both sides come from one table
+    placed = chunked.select("cluster", "chunk", "node", "text").union(pivots).dropDuplicates(["cluster", "chunk", "node", "text"])
+    first = written(_settle(placed, ("cluster", "chunk"), width, percent), "near-links")
+    nodes = chunked.groupBy("cluster", "node").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    labelled = nodes.join(components(first), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    parts = written(_groups_apart(written(labelled.select("cluster", "node", "bytes", "comp"), "near-labelled"), bands), "near-apart")
+    texts = chunked.select("node", "text")
+    # a text meets all blocks of its part: as one that is held, and if it is apart also as one that asks
+    chunk, share = F.expr("int(pmod(xxhash64(3, node), chunks))").alias("chunk"), F.expr("int(pmod(xxhash64(2, node), shares))").alias("share")
+    held = parts.select("part", chunk, F.explode(F.expr("sequence(0, shares - 1)")).alias("share"), "node", "comp").join(texts.hint("merge"), "node")
+    asking = parts.where("apart").select("part", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), share, "node", "comp").join(texts.hint("merge"), "node")
+    names = ("part", "chunk", "share", "node", "comp", "text")
+    asking = asking.select(*(F.col(c).alias(f"{c}_asking") for c in names))  # names of their own, as both sides come from one table
 
     def across(one: pa.Table, other: pa.Table) -> pa.Table:
         one, forest = one.rename_columns(list(names)), Forest()
@@ -208,8 +237,8 @@ def _settle_large(rows: DataFrame, width: int, percent: int) -> DataFrame:
             join_linked(_block(one, width), _block(other, width), percent, forest)
         return _links(forest)
 
-    asked, held = left.groupBy(*(f"{c}_asking" for c in names[:3])), right.groupBy(*names[:3])
-    return first.union(asked.cogroup(held).applyInArrow(across, "a long, b long"))
+    asked, by = asking.groupBy(*(f"{c}_asking" for c in names[:3])), held.select(*names).groupBy(*names[:3])
+    return first.union(asked.cogroup(by).applyInArrow(across, "a long, b long"))
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -225,7 +254,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     are not looked at.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kind = "doc_id long, n long, ka long, kb long, bands array<long>"
+    kind = "doc_id long, n long, ka long, kb long, bytes long, bands array<long>"
     sketches = written(read.mapInArrow(_sketches(width), kind), "near-sketches")
     known = sketches.where("n > 0 and doc_id is not null")
     classes = written(known.groupBy("ka", "kb").agg(F.min("doc_id").alias("node")), "near-classes")
@@ -238,12 +267,15 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     least = together.withColumn("a", F.expr("min(low) over (partition by node)"))
     together = least.select("a", F.col("node").alias("b")).union(least.where("a != low").select("a", F.col("low").alias("b"))).distinct()
     clusters = components(together).withColumnRenamed("comp", "cluster")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    sizes = clusters.join(sketches.select(F.col("doc_id").alias("node"), "bytes"), "node").groupBy("cluster").agg(F.count("*").alias("size"), F.sum("bytes").alias("cluster_bytes"))
     members = written(read.withColumnRenamed("doc_id", "node").join(clusters.join(sizes, "cluster").hint("merge"), "node"), "near-members")
 
-    links = _settle_clusters(members.where(F.col("size") <= CHUNK), width, percent)
-    if members.where(F.col("size") > CHUNK).limit(1).count():
-        links = links.union(_settle_large(members.where(F.col("size") > CHUNK), width, percent))
+    small = F.expr(_chunks("size", "cluster_bytes")) == 1
+    links = _settle(members.where(small), ("cluster",), width, percent)
+    large = members.where(~small)
+    if large.limit(1).count():
+        bands = rows.join(shared.select("band"), "band", "left_semi").join(large.select("node").distinct(), "node", "left_semi")
+        links = links.union(_settle_large(large, written(bands, "near-bands"), width, percent))
     comps = components(links)
     by_class = classes.join(comps, "node", "left").select("ka", "kb", F.coalesce("comp", "node").alias("comp"))
     every = sketches.select("doc_id", F.col("n").alias("n_shingles"), "ka", "kb").join(by_class, ["ka", "kb"], "left")

@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15
-_UNDO = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_POWERS: dict[int, np.ndarray] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -19,31 +16,45 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 … base**n, modulo 2**64."""
-    kept = _POWERS.get(base)
-    if kept is None or len(kept) <= n:
-        with np.errstate(over="ignore"):
-            kept = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 20), base, np.uint64)], dtype=np.uint64)
-        _POWERS[base] = kept
-    return kept[: n + 1]
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each place of ``data`` its next eight bytes as a number, zeros beyond the end."""
+    held = np.zeros(len(data) + 8, np.uint8)
+    held[: len(data)] = data
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(held, 8)[: len(data)]).view("<u8").ravel()
+
+
+def stretch_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of ``data``.
+
+    Its groups of eight bytes are mixed with their place in the stretch before
+    they are summed, so no two contents are equal by construction.
+    """
+    groups = (lengths + 7) >> 3
+    first = np.cumsum(groups) - groups
+    place = np.arange(int(groups.sum())) - np.repeat(first, groups)
+    at = np.repeat(starts, groups) + 8 * place
+    held = np.zeros(len(data) + 8, np.uint8)
+    held[: len(data)] = data
+    values = held[at[:, None] + np.arange(8)].view("<u8").ravel() if len(at) else np.zeros(0, np.uint64)
+    beyond = (64 - 8 * np.minimum(np.repeat(lengths, groups) - 8 * place, 8)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        values = (values << beyond) >> beyond
+        parts = mixed(values ^ mixed(place.astype(np.uint64) + np.uint64(1)))
+        sums = np.r_[np.uint64(0), np.cumsum(parts, dtype=np.uint64)]
+        return mixed(sums[first + groups] - sums[first] + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of the texts, A-Z as a-z, and where each text's words begin (one more at the end).
 
-    Words are the runs that are not white space. The hash is a polynomial of
-    the bytes, taken from running sums, so no word is handled on its own.
+    Words are the runs that are not white space.
     """
     joined = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
     space = _SPACE[joined]
     edge = np.flatnonzero(np.diff(np.r_[True, space, True].view(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
-    with np.errstate(over="ignore"):
-        sums = np.r_[np.uint64(0), np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(joined))[:-1], dtype=np.uint64)]
-        words = mixed((sums[ends] - sums[starts]) * _powers(_UNDO, len(joined))[starts] + (ends - starts).astype(np.uint64))
     begin = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return words, np.searchsorted(starts, begin)
+    return stretch_hashes(joined, starts, ends - starts), np.searchsorted(starts, begin)
 
 
 def shingle_sets(texts: list[bytes], width: int = 2) -> list[np.ndarray]:

@@ -1,8 +1,10 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import exact_dedup as E
 from siltstone.llm import near_dedup as N
@@ -72,6 +74,30 @@ def test_near_components_match_brute_force(spark, monkeypatch, width, chunk):
         assert r.kept == (None if r.doc_id is None else r.doc_id == r.component_id)
 
 
+@pytest.mark.parametrize("by_band", [False, True])
+def test_large_clusters_match_brute_force(spark, monkeypatch, by_band):
+    """A template that all texts share, few true links: what is apart is settled by the cluster or by its bands."""
+    rng = random.Random(3)
+    template = cases.words(rng, 60)
+    data = [(k, f"{template} {cases.words(rng, rng.choice((3, 20, 30)))}", "en", "s", 1) for k in range(160)]
+    monkeypatch.setattr(N, "CHUNK", 10)
+    if not by_band:  # with every group of bands twenty times, the cluster as a whole is cheaper
+        whole = N._groups_apart
+        monkeypatch.setattr(N, "_groups_apart", lambda members, bands: whole(members, bands.crossJoin(bands.sparkSession.range(20)).select("node", F.xxhash64("band", "id").alias("band"))))
+    found = N.near_components(cases.table(spark, data), 2, 80).collect()
+    want, _ = brute(data, 2, 80)
+    assert {r.doc_id: r.component_id for r in found} == want
+
+
+def test_words_of_one_polynomial_hash_are_apart(spark):
+    text = "a"
+    while len(text) < 2048:
+        text += text.translate({97: 98, 98: 97})
+    other = text.translate({97: 98, 98: 97})
+    found = N.near_components(cases.table(spark, [(1, text, "", "", 1), (2, other, "", "", 1)]), 2, 80).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 2}
+
+
 def test_registers_and_estimate():
     import numpy as np
 
