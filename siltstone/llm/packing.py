@@ -28,22 +28,29 @@ END = 0
 
 
 class Tokenizer:
-    """Ids of a byte-level vocabulary, given as ranks, with special tokens' strings as ordinary text.
+    """Ids of a byte-level vocabulary, given as ranks, and of the end-of-text mark, whose string in a text is that one id.
 
     They are the ids that the same vocabulary's merges give in other libraries.
     """
 
+    MARK = "<|endoftext|>"
+
     def __init__(self, path: str) -> None:
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.kind = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
+        self.mark = max(ranks.values()) + 1
+        self.kind = "<u2" if self.mark < 1 << 16 else "<u4"
         self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
     def ids(self, text: str) -> np.ndarray:
-        return self.encode(text, disallowed_special=()).astype(self.kind)
+        parts = [self.encode(part, disallowed_special=()).astype(self.kind) for part in text.split(self.MARK)]
+        if len(parts) == 1:
+            return parts[0]
+        mark = np.array([self.mark], self.kind)
+        return np.concatenate([x for part in parts for x in (mark, part)][1:])
 
 
 _LOADED: dict[str, Tokenizer] = {}
@@ -63,46 +70,84 @@ def terms(ids: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """BM25 over one shard's documents."""
-
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75) -> None:
-        self.n = len(docs)
-        lengths = np.array([len(d) for d in docs], np.float64)
-        of = [terms(d[:-1]) for d in docs]
-        keys = np.concatenate([(t.astype(np.uint64) << np.uint64(32)) | np.uint64(k) for k, t in enumerate(of)]) if of else np.zeros(0, np.uint64)
-        keys, tf = np.unique(keys, return_counts=True)
-        self.doc = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        _, self.start, term = np.unique(keys >> np.uint64(32), return_index=True, return_inverse=True)
-        self.df = np.diff(np.r_[self.start, len(keys)])
-        idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
-        self.weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[self.doc] / max(1.0, lengths.mean() if self.n else 1.0)))
-        df = self.df[term]
-        shared = np.flatnonzero(df > 1)
-        shared = shared[np.argsort((self.doc[shared] << 32) | df[shared], kind="stable")]
-        self.terms = term[shared]
-        self.terms_at = np.searchsorted(self.doc[shared], np.arange(self.n + 1))
-
-    def neighbours(self, doc: int, unused: np.ndarray, query_terms: int | None = None) -> np.ndarray:
-        """The unused documents that share any of the query's terms (or of its ``query_terms`` rarest), best first."""
-        asked = self.terms[self.terms_at[doc] : self.terms_at[doc + 1]][:query_terms]
-        if not len(asked):
-            return asked
+    """BM25 over one shard's documents.
+
+    A term that no two documents share can't find anything and is not kept.
+    The postings of the commonest terms are rows of a matrix of at most
+    ``dense`` weights, which are summed at once, for all queries by one product
+    if its result is no larger; those of the others are lists.
+    """
+
+    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, dense: int = 16 << 20) -> None:
+        self.n = n = len(docs)
+        lengths = np.array([len(d) for d in docs], np.float32)
+        keys = np.empty(int(sum(max(len(d) - 2, 0) for d in docs)), np.uint64)
+        at = 0
+        for k, d in enumerate(docs):
+            of = terms(d[:-1])
+            keys[at : at + len(of)] = (of.astype(np.uint64) << np.uint64(32)) | np.uint64(k)
+            at += len(of)
+        keys.sort()
+        first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+        tf = np.diff(np.r_[first, len(keys)]).astype(np.float32)
+        keys = keys[first]
+        term, doc = (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32).astype(np.int32)
+        start = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
+        df = np.diff(np.r_[start, len(term)])
+        stays = np.repeat(df > 1, df)
+        tf, doc, df = tf[stays], doc[stays], df[df > 1]
+        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        weight = np.repeat(idf, df) * tf * np.float32(k1 + 1) / (tf + np.float32(k1) * (1 - b + b * lengths[doc] / max(1.0, float(lengths.mean()) if n else 1.0)).astype(np.float32))
+        common = np.argsort(-df, kind="stable")[: dense // max(1, n)]
+        common = common[16 * df[common] > n]
+        number = np.full(len(df), -1, np.int32)
+        number[common] = np.arange(len(common))
+        row = np.repeat(number, df)
+        self.rows = np.zeros((len(common), n), np.float32)
+        self.rows[row[row >= 0], doc[row >= 0]] = weight[row >= 0]
+        self.of_rows, self.rows_at = self._by_doc(row[row >= 0], doc[row >= 0])
+        self.product = (self.rows.T > 0).astype(np.float32) @ self.rows if n * n <= dense else None
+        self.doc, self.weight = doc[row < 0], weight[row < 0]
+        self.df = df[number < 0]
+        self.start = np.cumsum(self.df) - self.df
+        self.terms, self.terms_at = self._by_doc(np.repeat(np.arange(len(self.df), dtype=np.int32), self.df), self.doc)
+
+    def _by_doc(self, values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        by = np.argsort(doc, kind="stable")
+        return values[by], np.searchsorted(doc[by], np.arange(self.n + 1))
+
+    def scores(self, doc: int) -> np.ndarray:
+        """Of all documents for the terms of one."""
+        if self.product is not None:
+            score = self.product[doc].astype(np.float64)
+        else:
+            score = self.rows[self.of_rows[self.rows_at[doc] : self.rows_at[doc + 1]]].sum(0, dtype=np.float32).astype(np.float64)
+        asked = self.terms[self.terms_at[doc] : self.terms_at[doc + 1]]
         sizes = self.df[asked]
-        ends = np.cumsum(sizes)
-        at = np.repeat(self.start[asked] - ends + sizes, sizes) + np.arange(ends[-1])
-        score = np.bincount(self.doc[at], self.weight[at], self.n)
-        found = np.flatnonzero(unused & (score > 0))
-        return found[np.argsort(-score[found], kind="stable")]
+        if sizes.sum():
+            ends = np.cumsum(sizes)
+            at = np.repeat(self.start[asked] - ends + sizes, sizes) + np.arange(ends[-1])
+            score += np.bincount(self.doc[at], self.weight[at], self.n)
+        return score
+
+    def neighbours(self, doc: int, unused: np.ndarray, at_once: int = 32) -> Iterator[int]:
+        """The unused documents that share any term, best first."""
+        score = np.where(unused, self.scores(doc), 0.0)
+        least = np.partition(score, -at_once)[-at_once] if self.n > at_once else 0.0
+        best = np.flatnonzero((score >= least) & (score > 0))
+        yield from best[np.argsort(-score[best], kind="stable")].tolist()
+        rest = np.flatnonzero((score < least) & (score > 0))
+        yield from rest[np.argsort(-score[rest], kind="stable")].tolist()
 
     def drop_used(self, unused: np.ndarray) -> None:
-        """Leaves the postings of unused documents only; no answer changes."""
+        """Leaves the listed postings of unused documents only; no answer changes."""
         stays = unused[self.doc]
         before = np.r_[0, np.cumsum(stays)]
         self.start, self.df = before[self.start], before[self.start + self.df] - before[self.start]
         self.doc, self.weight = self.doc[stays], self.weight[stays]
 
 
-def arranged(docs: list[np.ndarray], window: int, query_terms: int | None = None) -> list[int]:
+def arranged(docs: list[np.ndarray], window: int) -> list[int]:
     """The documents in packing order: each window filled with the unused neighbours of the one that begins it."""
     index = Index(docs)
     unused, order, filled = np.ones(len(docs), bool), [], 0
@@ -120,7 +165,7 @@ def arranged(docs: list[np.ndarray], window: int, query_terms: int | None = None
             filled += len(docs[seed])
         if filled % window:
             end = filled + window - filled % window
-            for near in index.neighbours(seed, unused, query_terms).tolist():
+            for near in index.neighbours(seed, unused):
                 unused[near] = False
                 order.append(near)
                 filled += len(docs[near])
@@ -162,7 +207,7 @@ def _tokenized(path: str):
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _packed(kind: str, window: int, query_terms: int | None, with_ids: bool):
+def _packed(kind: str, window: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc_ids: list[int | None] = []
         docs: list[np.ndarray] = []
@@ -174,7 +219,7 @@ def _packed(kind: str, window: int, query_terms: int | None, with_ids: bool):
         shard = TaskContext.get().partitionId() << 40
         begins = np.array(cuts(sum(map(len, docs)), window))
         at, rows = 0, []
-        for k in arranged(docs, window, query_terms):
+        for k in arranged(docs, window):
             end = at + len(docs[k])
             inner = begins[np.searchsorted(begins, at, "right") : np.searchsorted(begins, end, "left")].tolist()
             for low, high in zip([at, *inner], [*inner, end], strict=True):
@@ -200,7 +245,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names)
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = 1024, query_terms: int | None = None, shard_tokens: int = 4_000_000, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = 1024, shard_tokens: int = 4_000_000, with_ids: bool = False) -> DataFrame:
     """The pieces of all of ``docs``: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its tokens and a closing id 0; a null or empty text is that
@@ -210,9 +255,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = 1024,
     other; an empty table gives no pieces. Other columns are not looked at.
     ``with_ids`` adds the pieces' ids as little-endian unsigned 32-bit numbers.
 
-    A query is all of a document's terms, or its ``query_terms`` rarest shared
-    ones if that is given. An index shard holds about ``shard_tokens``, so a task's memory is bounded and the
-    number of shards follows the input.
+    A query is all of a document's terms. An index shard holds about
+    ``shard_tokens``, so a task's memory is bounded and the number of shards
+    follows the input.
     """
     if tokenizer_path is None:
         import public_tokenizers
@@ -224,7 +269,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = 1024,
     shards = max(1, -(-total // shard_tokens))
     kind = tokenizer(tokenizer_path).kind
     dealt = coded.withColumn("salt", F.xxhash64("doc_id", "n")).repartitionByRange(shards, "route", "salt").sortWithinPartitions("route", "salt", "doc_id", "n")
-    return dealt.select("doc_id", "ids").mapInArrow(_packed(kind, window, query_terms, with_ids), PIECES + (", ids binary" if with_ids else ""))
+    return dealt.select("doc_id", "ids").mapInArrow(_packed(kind, window, with_ids), PIECES + (", ids binary" if with_ids else ""))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
