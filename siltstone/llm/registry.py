@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, lm_scoring, mixing, near_dedup, neighbours, packing, repeats, secrets, sharding, toxicity
+from . import checks, exact_dedup, lm_scoring, mixing, near_dedup, neighbours, packing, repeats, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,9 +16,11 @@ QUERIES = {
     "op8_repeats": repeats.op8_repeats,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_packing": packing.op10_packing,
+    **checks.QUERIES,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op5_lm_scoring": lm_scoring.ORACLE,
+    **checks.ORACLES,
 }

@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 
 from .blocks import REQUESTS, answers, blocks, by_block, packed_texts, parts_for, request_batches, requests, texts_of, totals
 from .common import table, written
-from .shingles import _BASE, _UNDO, _powers, mixed
+from .shingles import eights, mixed
 
 GRAM_SHARE = 5  # a gram is a fifth of a window
+_ODD = mixed(np.arange(1, 1025, dtype=np.uint64)) | np.uint64(1)
 
 
 def _slide(x: np.ndarray, width: int, of: np.ufunc, fill: int) -> np.ndarray:
@@ -45,27 +46,39 @@ def _slide(x: np.ndarray, width: int, of: np.ufunc, fill: int) -> np.ndarray:
 
 
 class Hashed:
-    """The hashes of one document's substrings, from running sums."""
+    """The hashes of one document's substrings.
+
+    A substring is taken as its groups of eight bytes, the last one reaching
+    back where the width is no multiple; each is mixed before they are summed
+    with odd factors, so no contents are equal by construction.
+    """
 
     def __init__(self, text: bytes, length: int) -> None:
-        b = np.frombuffer(text, np.uint8)
-        self.n, self.length, self.gram = len(b), length, max(1, length // GRAM_SHARE)
-        with np.errstate(over="ignore"):
-            powers = _powers(_BASE, self.n)
-            self.sums = np.r_[np.uint64(0), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)]
-        self.undo = _powers(_UNDO, self.n)
+        self.n, self.length, self.gram = len(text), length, max(1, length // GRAM_SHARE)
+        self.groups = eights(np.frombuffer(text, np.uint8))
+        self.mixed = mixed(self.groups)
 
-    def between(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    def _of_width(self, width: int, at) -> np.ndarray:
+        """``at`` gives, for an offset, the groups at that offset from each start."""
         with np.errstate(over="ignore"):
-            return mixed((self.sums[high] - self.sums[low]) * self.undo[low] + (high - low).astype(np.uint64))
+            if width < 8:
+                return mixed(at(self.groups, 0) << np.uint64(64 - 8 * width))
+            total = None
+            for k, offset in enumerate([*range(0, width - 7, 8), *[width - 8] * (width % 8 > 0)]):
+                part = at(self.mixed, offset) * _ODD[k % len(_ODD)] + np.uint64(k)
+                total = part if total is None else total + part
+            return mixed(total)
 
     def windows(self, starts: np.ndarray) -> np.ndarray:
-        return self.between(starts, starts + self.length)
+        return self._of_width(self.length, lambda x, offset: x[starts + offset])
+
+    def grams(self) -> np.ndarray:
+        count = self.n - self.gram + 1
+        return self._of_width(self.gram, lambda x, offset: x[offset : offset + count])
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each window's least gram hash; the anchors' positions; their hashes."""
-        with np.errstate(over="ignore"):
-            grams = mixed((self.sums[self.gram :] - self.sums[: -self.gram]) * self.undo[: self.n - self.gram + 1])
+        grams = self.grams()
         width = self.length - self.gram + 1
         least = _slide(grams, width, np.minimum, (1 << 64) - 1)
         edge = np.zeros(width - 1, np.uint64)
@@ -73,11 +86,14 @@ class Hashed:
         return least, at, grams[at]
 
     def stretches(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For consecutive anchors: the first and last window start that their stretch decides, and its hash."""
-        low, high = at[:-1], at[1:]
-        whole = high + self.length <= self.n
-        low, high = low[whole], high[whole]
-        return low, high, mixed(self.between(low, high + self.length) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        """For consecutive anchors: the first and last window start that their stretch decides, and its hash.
+
+        Anchors lie less than a window apart, so the windows at both cover the stretch.
+        """
+        at = at[at + self.length <= self.n]
+        low, high, hashes = at[:-1], at[1:], self.windows(at)
+        with np.errstate(over="ignore"):
+            return low, high, mixed(mixed(hashes[:-1] + (high - low).astype(np.uint64)) * _ODD[0] + hashes[1:])
 
 
 class Anchored:

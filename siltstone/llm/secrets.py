@@ -126,7 +126,7 @@ def is_token_header(part: str) -> bool:
         return False
     try:
         head = json.loads(data)
-    except ValueError:
+    except (ValueError, RecursionError):  # nested beyond what a header may be
         return False
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
@@ -182,13 +182,15 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """For each row of ``docs``: doc_id, counts of the base kinds, base_sha256 and spans.
 
     Spans are ``kind:start:end`` in code points, the end exclusive, by start
-    and then kind, comma-joined; null and empty texts have none. Each row is
-    judged alone, so repeated rows give repeated results, and other columns
-    are not looked at. No exchange is needed.
+    and then kind, comma-joined; null and empty texts have none. Texts of any
+    length are scanned whole. Each row is judged alone, so repeated rows give
+    repeated results, a null id stays null and an empty table gives an empty
+    result; other columns are not looked at. No exchange is needed.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return read.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``secret_spans`` of all documents."""
     return secret_spans(table(spark, sf_dir, "documents"))

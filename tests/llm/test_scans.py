@@ -225,3 +225,9 @@ def test_perturbations_come_in_order():
     sets = K.perturbations(np.array([0.1, 0.5, 0.9]), 1.0, 12)
     cost = [sum((x if s < 0 else 1 - x) ** 2 for f, s in p for x in [[0.1, 0.5, 0.9][f]]) for p in sets]
     assert sets[0] == () and cost == sorted(cost) and len(set(sets)) == len(sets)
+
+
+def test_deeply_nested_header_is_no_token(spark):
+    nested = b64url(b'{"a":' * 60_000 + b"1" + b"}" * 60_000)
+    found = X.secret_spans(spark.createDataFrame([(1, f"ey {nested}.{b64url(b'{}')}.x"), (2, "ey" + "." * 9 + "x" * 3_000_000)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_assign, r.spans.count("token")) for r in found) == [(1, 0, 0), (2, 0, 0)]
