@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,8 @@ from .common import as_bytes, fresh, pieces, table, written
 
 #: The weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
+#: Shards whose draws are summed together, and shards whose slots one task fills.
+BUCKET_SHARDS, TASK_SHARDS = 1024, 8
 
 
 def targets(sizes: list[int], weights: list[int], share: float, cap: float) -> list[float]:
@@ -141,12 +143,16 @@ class Mix:
     def taken(self) -> DataFrame:
         """For each document: doc_id, size, source_size, target, taken."""
         summed = self.taken_pieces().groupBy("number", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-        about = F.create_map(*(F.lit(x) for s in self.sources for x in (s.number, s.target)))
-        sizes = F.create_map(*(F.lit(x) for s in self.sources for x in (s.number, s.size)))
-        lines = self.lines.withColumn("start", F.when(F.col("size") > 0, F.col("start")))
-        return lines.join(summed, ["number", "start"], "left").select(
-            "doc_id", "size", sizes[F.col("number")].cast("long").alias("source_size"), about[F.col("number")].alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
-        ) if self.sources else lines.selectExpr("doc_id", "size", "0L as source_size", "0D as target", "0L as taken")
+        if not self.sources:
+            return self.lines.selectExpr("doc_id", "size", "0L as source_size", "0D as target", "0L as taken")
+        about = self.lines.sparkSession.createDataFrame([(s.number, s.size, s.target) for s in self.sources], "number int, source_size long, target double")
+        lines = self.lines.withColumn("start", F.when(F.col("size") > 0, F.col("start"))).join(F.broadcast(about), "number")
+        return lines.join(summed, ["number", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def _row_key(*columns: Column) -> Column:
+    """Tells rows apart by 128 bits."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
 
 
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, block: int = 1024, shard_blocks: int = 4096, seed: int = 7, most_sources: int = 100_000) -> Mix:
@@ -163,7 +169,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, block: int = 1024
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64("doc_id", "source", "text").alias("row_key"),
+        _row_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("row_key"),
     )
     lines = written(lines, "mixing-sizes")
     by_source = lines.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(most_sources + 1).collect()
@@ -234,13 +240,23 @@ def _slots(spark: SparkSession, sources: list[Source], shard_blocks: int, seed:
                     take[j[here][by_turn] == needed[k] - 1] -= ends[k]
                     yield pd.DataFrame({"shard": r.shard, "slot": slot[here][by_turn], "number": np.int32(k), "block": block, "turn": turn[by_turn].astype(np.int32), "take": take})
 
-    first = counts.withColumn("first", F.expr("sum(draws) over (partition by number order by shard) - draws"))
-    return first.mapInPandas(filled, "shard long, slot long, number int, block long, turn int, take long")
+    # a source's draws before a shard: those before its bucket of shards and those within
+    bucketed = counts.withColumn("bucket", F.expr(f"shard div {BUCKET_SHARDS}"))
+    before = bucketed.groupBy("number", "bucket").agg(F.sum("draws").alias("total")).withColumn("before", F.expr("sum(total) over (partition by number order by bucket) - total")).drop("total")
+    within = bucketed.withColumn("within", F.expr("sum(draws) over (partition by number, bucket order by shard) - draws"))
+    first = within.join(before, ["number", "bucket"]).select("shard", "number", "draws", "slot", (F.col("before") + F.col("within")).alias("first"))
+    dealt = first.repartition(max(1, min(10_000, shards // TASK_SHARDS + 1)), "shard", "number")
+    return dealt.mapInPandas(filled, "shard long, slot long, number int, block long, turn int, take long")
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix as documents: for each document and pass in which any of it is taken, one row with the words taken.
 
+    Null, empty and blank texts are never taken and so are not in the mix. Of
+    rows equal in id, source and text one is taken for each place on the line
+    that is drawn; other columns are those of any of them. An empty table
+    gives an empty mix.
+
     A document taken whole keeps its text as it is; of one that a block border
     cuts, the stretches taken are kept as written, joined by a space. The
     columns are those of ``docs``; n_chars, if there, is counted anew. A
@@ -249,7 +265,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     drawn = mix(docs, **settings)
     key, found = fresh(docs, "_row_key", "_spans")
     taken = drawn.taken_pieces().groupBy("row_key", "number", "start", "turn").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias(found))
-    rows = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")))
+    rows = docs.withColumn(key, _row_key(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")))
     rows = rows.dropDuplicates([key]).join(taken.select(F.col("row_key").alias(key), found), key)
     at, spans_at = rows.columns.index("text"), rows.columns.index(found)
 
@@ -286,4 +302,5 @@ def stretch(text: bytes, spans: list[dict]) -> bytes:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mix`` of all documents, as what is taken of each."""
     return mix(table(spark, sf_dir, "documents")).taken()
