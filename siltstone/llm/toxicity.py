@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Three small transducers read the words of a clause as symbols: target, negation
-and reported speech. Insult and threat are looked up word by word. The composition is one machine whose
-arcs carry what a clause so far amounts to; an offence that is denied, or only
-reported, leaves by another arc than one aimed at somebody. A document's score
-sums what its offending words carry, those outside any frame as plain.
+Five transducers read the words of a clause as symbols. Those of insult and
+threat say what is done: an insult, one stacked upon another, a threat, which
+takes an intent or a victim beside its verb. Those of target, negation and
+reported speech say how: aimed at somebody, denied, or only told. Their
+composition is one machine; each of its arcs that matches carries a kind, a
+frame and a weight. A clause's score is what its path gathers, a document's
+what its matched clauses give.
 
 The entries of the insult lexicon, words and word beginnings, and the weights
 of the arcs are learned from labelled rows that are not held out.
@@ -15,7 +17,8 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,27 +29,75 @@ from pyspark.sql import functions as F
 from .common import pieces, table, written
 
 # Closed word classes of the four languages of the corpus.
-NEGATION = frozenset("not no never neither nor isn't aren't don't doesn't nicht kein keine keinen nie niemals ne pas jamais aucun nunca jamás ningún ninguna".split())
-REPORTED = frozenset("said says wrote quoted reported claimed called sagte sagt schrieb zitierte dit écrit cité dijo dice escribió citó".split())
-TARGET = frozenset("you your yours they them he she him her du dich dein ihr euch tu te vous votre toi tú usted ustedes vosotros".split())
-THREAT = frozenset("kill hurt destroy burn punish töten umbringen vernichten verletzen tuer frapper brûler matar golpear quemar destruir".split())
+NEGATION = (
+    "not", "no", "never", "neither", "nor", "isn't", "aren't", "don't", "doesn't", "nicht", "kein", "keine", "keinen", "nie", "niemals",
+    "ne", "pas", "jamais", "aucun", "nunca", "jamás", "ningún", "ninguna",
+)
+REPORTED = (
+    "said", "says", "wrote", "quoted", "reported", "claimed", "called", "sagte", "sagt", "schrieb", "zitierte",
+    "dit", "écrit", "cité", "dijo", "dice", "escribió", "citó",
+)
+TARGET = (
+    "you", "your", "yours", "they", "them", "he", "him", "she", "her", "du", "dich", "dein", "ihr", "euch",
+    "tu", "te", "vous", "votre", "toi", "tú", "usted", "ustedes", "vosotros",
+)
+INTENT = (
+    "will", "shall", "gonna", "going", "must", "should", "i'll", "we'll", "werde", "werden", "wirst", "sollte", "muss",
+    "vais", "va", "allons", "dois", "doit", "voy", "vas", "vamos", "debe", "debo",
+)
+THREAT = (
+    "kill", "hurt", "destroy", "burn", "punish", "murder", "beat", "crush", "smash", "stab", "shoot", "harm", "ruin", "attack",
+    "töten", "töte", "umbringen", "vernichten", "verletzen", "schlagen", "erschießen", "zerstören", "verprügeln", "zertreten",
+    "tuer", "tue", "frapper", "brûler", "détruire", "blesser", "écraser", "battre", "égorger",
+    "matar", "mataré", "golpear", "quemar", "destruir", "herir", "aplastar", "pegar", "apuñalar",
+)
 
 CLAUSE = re.compile(r"[.,;:!?\n\r]+")
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 STEMS = (4, 5)
 HELD_OUT_OF = 5
 
+#: What a word may be to the machines; of several the first. Which words are insults is learned.
+SYMBOLS = ("insult", "threat", "target", "negation", "reported", "intent", "other")
+CODE = {s: n for n, s in enumerate(SYMBOLS)}
+CLOSED = {w: CODE[s] for s, words in reversed((("threat", THREAT), ("target", TARGET), ("negation", NEGATION), ("reported", REPORTED), ("intent", INTENT))) for w in words}
+
 
+@dataclass(frozen=True)
 class Transducer:
-    """A deterministic machine over symbols: (state, symbol) -> (state, output)."""
+    """A deterministic machine over symbols: (state, symbol) -> (state, mark)."""
+
+    states: int
+    step: Callable[[int, str], tuple[int, str]]
+
+
+def _insult(reach: int) -> Transducer:
+    """Says what an insult is: the first, or one within ``reach`` words of another."""
+    return Transducer(reach + 1, lambda q, x: (reach, "stacked" if q else "insult") if x == "insult" else (max(q - 1, 0), ""))
 
-    def __init__(self, states: int, step) -> None:
-        self.states, self.step = states, step
+
+def _threat(reach: int) -> Transducer:
+    """Says threat where its verb comes within ``reach`` words after an intent, or a target within two after its verb.
+
+    States: 0, the words left after an intent, and beyond them those after a verb.
+    """
+
+    def step(q: int, x: str) -> tuple[int, str]:
+        meant, struck = 0 < q <= reach, q > reach
+        if x == "threat":
+            return (0, "threat") if meant else (reach + 2, "")
+        if x == "target" and struck:
+            return 0, "threat"
+        if x == "intent":
+            return reach, ""
+        return (0 if q == reach + 1 else max(q - 1, 0)), ""
+
+    return Transducer(reach + 3, step)
 
 
 def _window(symbol: str, reach: int, mark: str) -> Transducer:
-    """Says ``mark`` for ``reach`` words after ``symbol``."""
-    return Transducer(reach + 1, lambda q, x: (reach, "") if x == symbol else (max(q - 1, 0), mark if q else ""))
+    """Says ``mark`` for ``reach`` words after ``symbol``, and at it."""
+    return Transducer(reach + 1, lambda q, x: (reach, mark) if x == symbol else (max(q - 1, 0), mark if q else ""))
 
 
 def _latch(symbol: str, mark: str) -> Transducer:
@@ -54,38 +105,44 @@ def _latch(symbol: str, mark: str) -> Transducer:
     return Transducer(2, lambda q, x: (1, mark) if q or x == symbol else (0, ""))
 
 
-SYMBOLS = ("other", "insult", "threat", "target", "negation", "reported")
+KINDS = ("threat", "stacked", "insult")
 #: How an offence is framed where it is said; the order in which a frame prevails.
 FRAMES = ("reported", "denied", "aimed", "plain")
+ARCS = tuple(itertools.product(KINDS, FRAMES))
 
 
-def compose(*machines: Transducer) -> tuple[list[list[int]], list[list[str]]]:
-    """The product machine as tables: next state, and the frame of what is said there."""
+def compose(*machines: Transducer) -> tuple[list[list[int]], list[list[int]]]:
+    """The product machine as tables: next state, and which of ARCS is matched (-1: none)."""
     states = list(itertools.product(*(range(m.states) for m in machines)))
     number = {q: n for n, q in enumerate(states)}
-    then, frame = [], []
+    then, matched = [], []
     for state in states:
-        row, said = [], []
+        row, arcs = [], []
         for symbol in SYMBOLS:
             moved = [m.step(q, symbol) for m, q in zip(machines, state, strict=True)]
             row.append(number[tuple(q for q, _ in moved)])
             marks = {mark for _, mark in moved}
-            said.append(next((f for f in FRAMES if f in marks), "plain"))
+            kind, frame = next((k for k in KINDS if k in marks), None), next((f for f in FRAMES if f in marks), "plain")
+            arcs.append(ARCS.index((kind, frame)) if kind else -1)
         then.append(row)
-        frame.append(said)
-    return then, frame
+        matched.append(arcs)
+    return then, matched
 
 
-THEN, FRAME = compose(_window("negation", 3, "denied"), _latch("reported", "reported"), _window("target", 4, "aimed"))
-CODE = {s: n for n, s in enumerate(SYMBOLS)}
+THEN, MATCHED = compose(_insult(3), _threat(3), _window("target", 4, "aimed"), _window("negation", 3, "denied"), _latch("reported", "reported"))
+#: Where labels say nothing of an arc it keeps this: threats count though none was labelled, denied and reported offences don't.
+PRIOR = (0.0, 0.0, 0.0, *(8.0 if (k == "threat" and f in ("aimed", "plain")) else 0.2 if f in ("aimed", "plain") else 0.0 for k, f in ARCS))
+#: What a threat weighs on its arc; an insult weighs what its entry does.
+THREAT_WEIGHT = 1.0
 
 
 @dataclass(frozen=True)
 class Grammar:
-    """What has been learned: entry -> weight, and the weights of the clause features."""
+    """What has been learned: entry -> weight, and the weights of the clause features and arcs."""
 
     lexicon: dict[str, float] = field(default_factory=dict)
     weights: tuple[float, ...] = ()
+    known: dict[str, tuple[int, float]] = field(default_factory=dict, repr=False, compare=False)
 
     def weight_of(self, word: str) -> float:
         """The weight of a word, or of its longest known beginning."""
@@ -95,25 +152,45 @@ class Grammar:
                 found = max(found, self.lexicon.get(word[:n] + "*", 0.0))
         return found
 
+    def read(self, word: str) -> tuple[int, float]:
+        """A word's symbol and weight, remembered for a bounded number of words."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            weight = self.weight_of(word)
+            symbol = CODE["insult"] if weight else CLOSED.get(word, CODE["other"])
+            found = self.known[word] = symbol, weight or THREAT_WEIGHT
+        return found
+
+    def path(self, words: list[str]) -> dict[int, float]:
+        """What one clause's path through the composed machine gathers, by arc; empty if it matches nothing."""
+        state, gathered = 0, {}
+        for word in words:
+            symbol, weight = self.read(word)
+            arc = MATCHED[state][symbol]
+            if arc >= 0:
+                gathered[arc] = gathered.get(arc, 0.0) + weight
+            state = THEN[state][symbol]
+        return gathered
+
     def features(self, text: str) -> list[float]:
-        """Of a document's matched clauses: the heaviest, then for each frame the summed weight."""
-        heaviest, framed, matched = 0.0, dict.fromkeys(FRAMES, 0.0), 0
-        for clause in CLAUSE.split(text.lower()):
-            words = WORD.findall(clause)
-            weights = [self.weight_of(w) for w in words]
-            if not any(weights) and THREAT.isdisjoint(words):
-                continue
-            state, said = 0, 0.0
-            for word, weight in zip(words, weights, strict=True):
-                symbol = symbol_of(word, weight)
-                if symbol in ("insult", "threat"):
-                    offence = weight or 1.0
-                    framed[FRAME[state][CODE[symbol]]] += offence
-                    said = max(said, offence)
-                state = THEN[state][CODE[symbol]]
-            matched += 1
-            heaviest = max(heaviest, said)
-        return [1.0, heaviest, *(math.log1p(framed[f]) for f in FRAMES), math.log1p(matched)]
+        """One, the heaviest matched clause, the number of them, and what each arc gathers over all."""
+        low = text.lower()
+        offences = {w for w in set(WORD.findall(low)) if self.read(w)[0] <= CODE["threat"]}
+        heaviest, clauses, arcs = 0.0, 0, [0.0] * len(ARCS)
+        if offences:
+            for clause in CLAUSE.split(low):
+                words = WORD.findall(clause)
+                if offences.isdisjoint(words):
+                    continue
+                gathered = self.path(words)
+                if gathered:
+                    clauses += 1
+                    heaviest = max(heaviest, sum(x for arc, x in gathered.items() if ARCS[arc][1] in ("aimed", "plain")))
+                    for arc, x in gathered.items():
+                        arcs[arc] += x
+        return [1.0, heaviest, math.log1p(clauses), *arcs]
 
     def score(self, text: str) -> float:
         if not self.weights:
@@ -122,43 +199,46 @@ class Grammar:
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
-def symbol_of(word: str, weight: float) -> str:
-    if weight:
-        return "insult"
-    for symbol, words in (("threat", THREAT), ("target", TARGET), ("negation", NEGATION), ("reported", REPORTED)):
-        if word in words:
-            return symbol
-    return "other"
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % HELD_OUT_OF == 0, F.lit(False))
 
 
-def fit(features: np.ndarray, toxic: np.ndarray, rounds: int = 25, ridge: float = 1e-2) -> tuple[float, ...]:
-    """Logistic regression by Newton's method."""
+def fit(features: np.ndarray, toxic: np.ndarray, prior: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple[float, ...]:
+    """Logistic regression by Newton's method, drawn towards ``prior``; the first weight, of one, is free."""
+    pull = np.full(features.shape[1], ridge)
+    pull[0] = 1e-6
     w = np.zeros(features.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
-        hessian = (features * (p * (1 - p))[:, None]).T @ features + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, features.T @ (toxic - p) - ridge * w)
+        hessian = (features * (p * (1 - p))[:, None]).T @ features + np.diag(pull)
+        step = np.linalg.solve(hessian, features.T @ (toxic - p) - pull * (w - prior))
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return tuple(map(float, w))
 
 
-def _lexicon(train: DataFrame, max_entries: int, least_sources: int, least_weight: float) -> dict[str, float]:
+def entries_of(text: str) -> tuple[int, list[str]]:
+    """A text's smallest word hash, and its distinct words and their beginnings, by the words that scoring reads."""
+    words = {w for w in WORD.findall(text.lower()) if len(w) > 1}
+    family = min((zlib.crc32(w.encode()) for w in words), default=0)
+    return family, sorted(words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n})
+
+
+def _lexicon(train: DataFrame, least_sources: int, least_weight: float) -> dict[str, float]:
     """Words and beginnings that mark toxic rows.
 
     Near copies of one text would lend each other's words support, so a word
     counts once for each smallest word hash among the documents that have it,
     which near copies share.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1))
-    stems = [F.transform(F.filter("words", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
-    seen = train.select("toxic", words.alias("words")).where(F.size("words") > 0)
-    seen = seen.select("toxic", F.array_min(F.transform("words", lambda w: F.xxhash64(w))).alias("family"), F.array_distinct(F.concat("words", *stems)).alias("entries"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 2 << 20):
+            family, entries = zip(*map(entries_of, batch.column(1).to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(family, pa.int64()), pa.array(entries, pa.list_(pa.string()))], ["toxic", "family", "entries"])
+
+    seen = written(train.select("toxic", "text").mapInArrow(read, "toxic int, family long, entries array<string>").where(F.size("entries") > 0), "toxicity-entries")
     total = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.countDistinct("family").alias("n")).collect()}
     if set(total) != {0, 1}:
         return {}
@@ -166,16 +246,18 @@ def _lexicon(train: DataFrame, max_entries: int, least_sources: int, least_weigh
     counted = by_family.groupBy("entry").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (total[1] + 1)) - F.log((F.col("good") + 0.5) / (total[0] + 1))
     best = counted.where(F.col("bad") >= least_sources).withColumn("weight", odds).where(F.col("weight") >= least_weight)
-    return {r["entry"]: r["weight"] for r in best.orderBy(F.desc(F.col("weight") * F.log1p("bad")), "entry").limit(max_entries).collect()}
+    return {r["entry"]: r["weight"] for r in best.select("entry", "weight").collect()}
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_entries: int = 5_000) -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Grammar:
     """The grammar, from at most about ``max_rows`` labelled rows that are not held out.
 
     The bound holds for the labelled sample only; it is drawn by a hash of the
     id. Rows with a null id, text or label take no part; of an id with several
     labels the largest counts. Without rows of both labels nothing is learned
-    and every score is 0.
+    and every score is 0. Each entry of the lexicon has at least three toxic
+    texts of the sample and one in 2,000 of its rows, so the sample's bound is
+    the lexicon's too.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.expr("int(toxic = 1)")).alias("toxic"))
@@ -183,7 +265,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_entrie
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     train = written(docs.select("doc_id", "text").where("text is not null").join(sample, "doc_id"), "toxicity-sample")
     n = train.count()
-    lexicon = _lexicon(train, max_entries, max(3, n // 2000), 2.0)
+    lexicon = _lexicon(train, max(3, n // 2000), 2.0)
     if not lexicon:
         return Grammar()
     grammar = Grammar(lexicon)
@@ -195,15 +277,16 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_entrie
 
     rows = train.select("doc_id", "text", "toxic").mapInArrow(features, "doc_id long, toxic int, features array<double>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["features"]))
-    return Grammar(lexicon, fit(np.array([r["features"] for r in rows]), np.array([r["toxic"] for r in rows], float)))
+    return Grammar(lexicon, fit(np.array([r["features"] for r in rows]), np.array([r["toxic"] for r in rows], float), np.array(PRIOR)))
 
 
 def scores(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """For each row of ``docs``: doc_id, held_out, score (0 to 1), predicted.
 
-    Only the text decides; null and empty texts get the score of no match.
-    Each row is scored alone, so repeated rows give repeated results. A null
-    doc_id is not held out. Other columns are not looked at.
+    Only the text decides, the whole of it; null and empty texts get the score
+    of no match. Each row is scored alone, so repeated rows give repeated
+    results. A null doc_id is not held out. Other columns are not looked at;
+    an empty table gives an empty result.
     """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +301,10 @@ def scores(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, grammar: Grammar, reject_from: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``reject_from``, with all their columns."""
+    """The rows of ``docs`` whose score is below ``reject_from``, with all their columns.
+
+    Null and empty texts match nothing and stay; repeated rows stay or go together.
+    """
     at = docs.columns.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,5 +316,6 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, reject_from: float = 0.5) -> D
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scores`` of all documents by the grammar learned from ``labels``."""
     docs = table(spark, sf_dir, "documents")
     return scores(docs, learn(docs, table(spark, sf_dir, "labels")))

@@ -145,13 +145,29 @@ def test_empty_tables(spark):
     assert T.scores(docs, T.learn(docs, labels)).count() == 0
 
 
-def test_grammar_frames():
+def test_grammar_composes_five_machines():
     g = T.Grammar({"idiot": 3.0, "lowei*": 2.0})
-    at = lambda text: dict(zip(T.FRAMES, g.features(text)[2:6], strict=True))
-    assert at("You are an idiot.")["aimed"] > 0 and at("not an idiot")["denied"] > 0
-    assert at("she said he is an idiot")["reported"] > 0 and at("what an idiot")["plain"] > 0
-    assert at("not now. an idiot")["plain"] > 0 and at("loweisch")["plain"] > 0
-    assert g.features("")[1:] == [0.0] * 6
+
+    def arcs(text):
+        return {a: x for a, x in zip(T.ARCS, g.features(text)[3:], strict=True) if x}
+
+    assert arcs("You are an idiot.") == {("insult", "aimed"): 3.0} and arcs("not an idiot") == {("insult", "denied"): 3.0}
+    assert arcs("she said he is an idiot") == {("insult", "reported"): 3.0} and arcs("what an idiot") == {("insult", "plain"): 3.0}
+    assert arcs("not now. an idiot") == {("insult", "plain"): 3.0} and arcs("loweisch") == {("insult", "plain"): 2.0}
+    assert arcs("you idiot, loweisch idiot") == {("insult", "aimed"): 3.0, ("insult", "plain"): 2.0, ("stacked", "plain"): 3.0}
+    assert arcs("I will kill you") == {("threat", "plain"): 1.0} and arcs("they will not kill") == {("threat", "denied"): 1.0}
+    assert arcs("kill you") == {("threat", "aimed"): 1.0} and arcs("I don't want to burn it") == {} and arcs("burn the house down") == {}
+    assert arcs("he wrote: I will kill you") == {("threat", "plain"): 1.0} and arcs("he wrote that he will kill") == {("threat", "reported"): 1.0}
+    assert g.features("")[1:] == [0.0] * (2 + len(T.ARCS))
+    assert T.entries_of("don't Don't")[1] == ["don'*", "don't"]
+
+
+def test_toxicity_of_repeated_and_long_texts(spark):
+    weights = (-5.0, 0.5, 0.0, *T.PRIOR[3:])
+    g = T.Grammar({"idiot": 6.0}, weights)
+    long = "word " * 1_000_000
+    found = T.scores(spark.createDataFrame([(1, "you idiot idiot"), (1, "you idiot idiot"), (2, long), (3, long + "I will kill you")], "doc_id long, text string"), g).collect()
+    assert sorted((r.doc_id, r.predicted) for r in found) == [(1, 1), (1, 1), (2, 0), (3, 1)]
 
 
 def test_toxicity_learns_and_holds_out(spark):
