@@ -3,17 +3,18 @@
 Documents are tokenized once and dealt to index shards of bounded size by the
 range of a min-hash of their terms, so documents that share terms tend to share
 a shard, while ties are broken by a hash of the id and no group of copies can
-outgrow a shard. A shard is a BM25 inverted index over adjacent token pairs. It
-is asked, for the document that begins a window and with all of its pairs, for
-its best unused neighbours in the shard; these fill the window greedily, and the one that is cut at its end
-begins the next window.
+outgrow a shard. A shard is a BM25 inverted index over words, read from the ids. It is asked, for the
+document that begins a window and with all of its words, for its best unused
+neighbours in the shard; these fill the window greedily, and the one that is
+cut at its end begins the next window.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,36 @@ from .common import pieces, table, written
 from .shingles import mixed
 
 END = 0
+_ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+class Pieces(dict):
+    """The ids, as bytes, of the pieces into which text is split before its bytes are merged; a bounded number is remembered."""
+
+    def __init__(self, encode: Callable[[str], list[int]], kind: str, most: int = 400_000) -> None:
+        self.encode, self.kind, self.most = encode, kind, most
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[piece] = np.array(self.encode(piece), self.kind).tobytes()
+        return found
+
+
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+#: The vocabulary's pattern for texts of the characters below only, where it splits in the same way and is found faster.
+_SPLIT = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+_PLAIN = bytes([0x09, 0x0A, 0x0D, *range(0x20, 0x7F), *range(0xA1, 0xB2), *range(0xB4, 0xB9), 0xBA, 0xBB, *range(0xBF, 0x100)])
 
 
 class Tokenizer:
     """Ids of a byte-level vocabulary, given as ranks, and of the end-of-text mark, whose string in a text is that one id.
 
     They are the ids that the same vocabulary's merges give in other libraries.
+    Also tells where words begin in them: ``opens`` are the ids that begin with
+    white space, ``sort`` is 0 for white space, 1 for signs, 2 for letters and
+    digits, and ``hashes`` those of the ids without a leading space, where they
+    have one.
     """
 
     MARK = "<|endoftext|>"
@@ -43,15 +68,46 @@ class Tokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.mark = max(ranks.values()) + 1
         self.kind = "<u2" if self.mark < 1 << 16 else "<u4"
-        self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encode, self.pieces = encoding.encode_to_numpy, Pieces(encoding._encode_single_piece, self.kind)
+        self.opens, self.sort, bare = np.zeros(self.mark + 1, bool), np.zeros(self.mark + 1, np.uint8), np.arange(self.mark + 1, dtype=np.uint64)
+        for token, rank in ranks.items():
+            body = token.lstrip()
+            self.opens[rank] = len(body) < len(token)
+            self.sort[rank] = 0 if not body else 2 if body[:1].isalnum() or body[0] >= 0x80 else 1
+            bare[rank] = ranks.get(body, rank)
+        self.hashes = mixed(bare + np.uint64(1))
+
+    def _ids(self, text: str) -> np.ndarray:
+        try:
+            plain = not text.encode("latin-1").translate(None, _PLAIN)
+        except UnicodeEncodeError:
+            plain = False
+        if plain:
+            return np.frombuffer(b"".join(map(self.pieces.__getitem__, _SPLIT.findall(text))), self.kind)
+        return self.encode(text, disallowed_special=()).astype(self.kind)
 
     def ids(self, text: str) -> np.ndarray:
-        parts = [self.encode(part, disallowed_special=()).astype(self.kind) for part in text.split(self.MARK)]
+        parts = [self._ids(part) for part in text.split(self.MARK)]
         if len(parts) == 1:
             return parts[0]
         mark = np.array([self.mark], self.kind)
         return np.concatenate([x for part in parts for x in (mark, part)][1:])
 
+    def terms(self, ids: np.ndarray) -> np.ndarray:
+        """A 32-bit hash of each word: the ids from where one begins, or where letters and signs meet, to the next."""
+        if not len(ids):
+            return np.zeros(0, np.uint32)
+        sort = self.sort[ids]
+        begins = self.opens[ids]
+        begins[0] = True
+        begins[1:] |= sort[1:] != sort[:-1]
+        first = np.flatnonzero(begins)
+        place = np.arange(len(ids)) - np.repeat(first, np.diff(first, append=len(ids)))
+        with np.errstate(over="ignore"):
+            sums = np.add.reduceat(self.hashes[ids] * _ODD[place & 63], first)
+        return (mixed(sums[sort[first] == 2]) >> np.uint64(32)).astype(np.uint32)
+
 
 _LOADED: dict[str, Tokenizer] = {}
 
@@ -63,14 +119,8 @@ def tokenizer(path: str) -> Tokenizer:
     return _LOADED[path]
 
 
-def terms(ids: np.ndarray) -> np.ndarray:
-    """A 32-bit hash of each pair of adjacent ids."""
-    x = ids.astype(np.uint64)
-    return (mixed((x[:-1] << np.uint64(32)) | x[1:]) >> np.uint64(32)).astype(np.uint32)
-
-
 class Index:
-    """BM25 over one shard's documents.
+    """BM25 over one shard's documents, each given by its terms, and their lengths.
 
     A term that no two documents share can't find anything and is not kept.
     The postings of the commonest terms are rows of a matrix of at most
@@ -78,15 +128,11 @@ class Index:
     if its result is no larger; those of the others are lists.
     """
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, dense: int = 16 << 20) -> None:
+    def __init__(self, docs: list[np.ndarray], sizes: list[int], k1: float = 1.2, b: float = 0.75, dense: int = 16 << 20) -> None:
         self.n = n = len(docs)
-        lengths = np.array([len(d) for d in docs], np.float32)
-        keys = np.empty(int(sum(max(len(d) - 2, 0) for d in docs)), np.uint64)
-        at = 0
-        for k, d in enumerate(docs):
-            of = terms(d[:-1])
-            keys[at : at + len(of)] = (of.astype(np.uint64) << np.uint64(32)) | np.uint64(k)
-            at += len(of)
+        lengths = np.array(sizes, np.float32)
+        number = np.repeat(np.arange(n, dtype=np.uint64), [len(d) for d in docs])
+        keys = (np.concatenate([*docs, np.zeros(0, np.uint32)]).astype(np.uint64) << np.uint64(32)) | number
         keys.sort()
         first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
         tf = np.diff(np.r_[first, len(keys)]).astype(np.float32)
@@ -147,9 +193,9 @@ class Index:
         self.doc, self.weight = self.doc[stays], self.weight[stays]
 
 
-def arranged(docs: list[np.ndarray], window: int) -> list[int]:
-    """The documents in packing order: each window filled with the unused neighbours of the one that begins it."""
-    index = Index(docs)
+def arranged(docs: list[np.ndarray], sizes: list[int], window: int) -> list[int]:
+    """The documents, given by terms and sizes, in packing order: each window filled with the unused neighbours of the one that begins it."""
+    index = Index(docs, sizes)
     unused, order, filled = np.ones(len(docs), bool), [], 0
     seed, following, kept = -1, 0, len(docs)
     while len(order) < len(docs):
@@ -162,13 +208,13 @@ def arranged(docs: list[np.ndarray], window: int) -> list[int]:
             seed = following
             unused[seed] = False
             order.append(seed)
-            filled += len(docs[seed])
+            filled += sizes[seed]
         if filled % window:
             end = filled + window - filled % window
             for near in index.neighbours(seed, unused):
                 unused[near] = False
                 order.append(near)
-                filled += len(docs[near])
+                filled += sizes[near]
                 if filled >= end:
                     break
             seed = order[-1] if filled > end else -1
@@ -195,7 +241,7 @@ def _tokenized(path: str):
             n, route, ids = [], [], []
             for text in batch.column(1).to_pylist():
                 x = np.append(coder.ids(text or ""), np.array([END], coder.kind))
-                t = terms(x[:-1])
+                t = coder.terms(x[:-1])
                 n.append(len(x))
                 route.append(int(t.min()) if len(t) else 0)
                 ids.append(x.tobytes())
@@ -207,19 +253,20 @@ def _tokenized(path: str):
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _packed(kind: str, window: int, with_ids: bool):
+def _packed(path: str, window: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = tokenizer(path)
         doc_ids: list[int | None] = []
         docs: list[np.ndarray] = []
         for batch in batches:
             doc_ids += batch.column(0).to_pylist()
-            docs += [np.frombuffer(x, kind) for x in batch.column(1).to_pylist()]
+            docs += [np.frombuffer(x, coder.kind) for x in batch.column(1).to_pylist()]
         if not docs:
             return
         shard = TaskContext.get().partitionId() << 40
         begins = np.array(cuts(sum(map(len, docs)), window))
         at, rows = 0, []
-        for k in arranged(docs, window):
+        for k in arranged([coder.terms(d[:-1]) for d in docs], [len(d) for d in docs], window):
             end = at + len(docs[k])
             inner = begins[np.searchsorted(begins, at, "right") : np.searchsorted(begins, end, "left")].tolist()
             for low, high in zip([at, *inner], [*inner, end], strict=True):
@@ -267,9 +314,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = 1024,
     coded = written(read.mapInArrow(_tokenized(tokenizer_path), "doc_id long, n long, route long, ids binary"), "packing-ids")
     total = coded.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    kind = tokenizer(tokenizer_path).kind
     dealt = coded.withColumn("salt", F.xxhash64("doc_id", "n")).repartitionByRange(shards, "route", "salt").sortWithinPartitions("route", "salt", "doc_id", "n")
-    return dealt.select("doc_id", "ids").mapInArrow(_packed(kind, window, with_ids), PIECES + (", ids binary" if with_ids else ""))
+    return dealt.select("doc_id", "ids").mapInArrow(_packed(tokenizer_path, window, with_ids), PIECES + (", ids binary" if with_ids else ""))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -95,21 +96,38 @@ def test_packing_round_trip(spark):
     assert sum(r.length for r in rows) == sum(len(ids) * n for (_, ids), n in want.items())
 
 
+def test_ids_of_any_text():
+    """The faster way to split texts, and the other, give the library's ids."""
+    coder, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), P.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(8)
+    signs = ["a", "Z", "é", "ß", "ÿ", "ª", "µ", "²", "¼", "×", "'", "'s", "'ll", "'Ll", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "0", "12", "_", "-", "<|endoftext|>", "漢", "😀", "ſ", "don't", "...", " ,"]
+    for k in range(3000):
+        text = "".join(rng.choice(signs[:27] if k % 2 else signs) for _ in range(rng.randint(0, 14)))
+        assert own.ids(text).tolist() == coder.encode(text, add_special_tokens=False).ids, text
+    own.pieces.most = 3
+    assert own.ids("one two three four five six").tolist() == coder.encode("one two three four five six").ids
+    own.pieces.most = 400_000
+
+
+def test_terms_are_words():
+    own = P.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    at = lambda text: own.terms(own.ids(text)).tolist()
+    assert at("") == at(" \n , . ") == [] and len(at("Überwältigend, unimaginably 42!")) == 3
+    assert at("word word, (word)\nword") == at("word") * 4 and at("word") != at("sword")
+
+
 def test_neighbours_share_terms():
-    docs = [np.array([*x, 0]) for x in ([1, 2, 3, 4], [9, 8, 7], [1, 2, 3, 5], [9, 8, 6])]
-    index = P.Index(docs)
+    docs = [np.array(x, np.uint32) for x in ([1, 2, 3], [9, 8], [1, 2, 5], [9, 6])]
+    index = P.Index(docs, [4, 3, 4, 3])
     assert list(index.neighbours(0, np.array([False, True, True, True]))) == [2]
-    assert P.arranged(docs, 9)[:2] == [0, 2]
+    assert P.arranged(docs, [4, 3, 4, 3], 9)[:2] == [0, 2]
     assert P.cuts(2 * 64 + 21, 64) == [0, 64, 128, 144, 148]
 
 
 def test_packing_scores_all_shared_terms():
-    rare = [[1000 + 2 * k, 1001 + 2 * k] for k in range(30)]
-    common = list(range(1, 60))
-    docs = [np.array([*common, *(x for pair in rare for x in pair), 0])]
-    docs += [np.array([*pair, 2000 + k, 0]) for k, pair in enumerate(rare)]
-    docs += [np.array([*common, 3000 + k, 0]) for k in range(3)]
-    assert P.arranged(docs, 1024)[1] in {31, 32, 33}
+    common, rare = list(range(1, 60)), list(range(1000, 1030))
+    docs = [[*common, *rare], *([x, 2000 + x] for x in rare), *([*common, 3000 + k] for k in range(3))]
+    assert P.arranged([np.array(d, np.uint32) for d in docs], [len(d) + 1 for d in docs], 1024)[1] in {31, 32, 33}
 
 
 @pytest.mark.parametrize("dense", [0, 150 * 7, 16 << 20])
@@ -117,18 +135,18 @@ def test_packing_order_matches_brute_force(monkeypatch, dense):
     """Whether the postings are lists or rows of weights."""
     monkeypatch.setattr(P.Index.__init__, "__defaults__", (1.2, 0.75, dense))
     rng = np.random.default_rng(4)
-    docs = [np.r_[rng.zipf(1.5, rng.integers(1, 60)) % 50 + 1, 0] for _ in range(150)]
-    grams = [list(zip(d[:-2].tolist(), d[1:-1].tolist(), strict=True)) for d in docs]
+    docs = [(rng.zipf(1.5, rng.integers(0, 60)) % 400 + 1).astype(np.uint32) for _ in range(150)]
+    sizes = [len(d) + int(rng.integers(1, 9)) for d in docs]
     df = defaultdict(int)
-    for g in grams:
-        for x in set(g):
+    for d in docs:
+        for x in set(d.tolist()):
             df[x] += 1
-    mean = sum(map(len, docs)) / len(docs)
+    mean = sum(sizes) / len(docs)
 
     def score(a, b):
-        shared = set(grams[a]) & set(grams[b])
-        parts = [(np.log1p((150 - df[x] + 0.5) / (df[x] + 0.5)), grams[b].count(x)) for x in shared]
-        return round(sum(i * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(docs[b]) / mean)) for i, n in parts), 9)
+        shared = set(docs[a].tolist()) & set(docs[b].tolist())
+        parts = [(np.log1p((150 - df[x] + 0.5) / (df[x] + 0.5)), docs[b].tolist().count(x)) for x in shared]
+        return round(sum(i * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * sizes[b] / mean)) for i, n in parts), 9)
 
     want, unused, filled, seed = [], set(range(150)), 0, None
     while unused:
@@ -136,7 +154,7 @@ def test_packing_order_matches_brute_force(monkeypatch, dense):
             seed = min(unused)
             unused.remove(seed)
             want.append(seed)
-            filled += len(docs[seed])
+            filled += sizes[seed]
         end, cut = -(-filled // 64) * 64, None
         ranked = sorted((-score(seed, b), b) for b in unused) if filled < end else []
         for s, b in ranked:
@@ -144,12 +162,12 @@ def test_packing_order_matches_brute_force(monkeypatch, dense):
                 break
             unused.remove(b)
             want.append(b)
-            filled += len(docs[b])
+            filled += sizes[b]
             if filled >= end:
                 cut = b if filled > end else None
                 break
         seed = cut
-    assert P.arranged(docs, 64) == want
+    assert P.arranged(docs, sizes, 64) == want
 
 
 def test_empty_tables(spark):
