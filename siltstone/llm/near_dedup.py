@@ -274,8 +274,9 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = _settle(members.where(small), ("cluster",), width, percent)
     large = members.where(~small)
     if large.limit(1).count():
-        bands = rows.join(shared.select("band"), "band", "left_semi").join(large.select("node").distinct(), "node", "left_semi")
-        links = links.union(_settle_large(large, written(bands, "near-bands"), width, percent))
+        nodes = written(large.select("node").distinct(), "near-large-nodes")  # written, so that the planner knows its size
+        bands = known.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").select("node", F.explode("bands").alias("band"))
+        links = links.union(_settle_large(large, written(bands.distinct(), "near-bands"), width, percent))
     comps = components(links)
     by_class = classes.join(comps, "node", "left").select("ka", "kb", F.coalesce("comp", "node").alias("comp"))
     every = sketches.select("doc_id", F.col("n").alias("n_shingles"), "ka", "kb").join(by_class, ["ka", "kb"], "left")
