@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Fixed values.
 STOP_WORDS = (
-    "the a an and or in on at to for of with is are was were be been by as this that it from which will can has have had not but also "
-    "evidence supported insufficient file lines line chunk"
-).split()
+    "the", "a", "an", "and", "or", "in", "on", "at", "to", "for", "of", "with", "is", "are", "was", "were", "be", "been", "by", "as", "this", "that", "it", "from", "which",
+    "will", "can", "has", "have", "had", "not", "but", "also", "evidence", "supported", "insufficient", "file", "lines", "line", "chunk",
+)
 LOOSE_CITATION = r"\[?`?([a-zA-Z0-9_\-\.\/]+\.[a-zA-Z0-9]+)(?::(?:L)?(\d+)(?:-(?:L)?(\d+))?)?`?\]?"
 LINE_CITATION = r"\[\s*`?([A-Za-z0-9_\-./]+\.[A-Za-z0-9]+):L?(\d+)(?:\s*-\s*L?(\d+))?`?\s*\]"
 FILE_CITATION = r"\[\s*`?([A-Za-z0-9_\-./]+/[A-Za-z0-9_\-.]+\.[A-Za-z0-9]+)`?\s*\]"
@@ -53,6 +57,30 @@ def code_tokens(text: Column) -> Column:
     return F.filter(F.transform(F.flatten(F.transform(words(spaced), parts)), lambda t: F.lower(t)), lambda t: F.length(t) > 1)
 
 
+_WORD_TOKENS: dict[str, list[str]] = {}
+
+
+def _word_tokens(word: str) -> list[str]:
+    """``code_tokens`` of one word between white space, remembered."""
+    found = _WORD_TOKENS.get(word)
+    if found is None:
+        if len(_WORD_TOKENS) > 300_000:
+            _WORD_TOKENS.clear()
+        camel = re.findall(CAMEL, word)
+        parts = [word, *(word.split("_") if "_" in word else ()), *(camel if len(camel) > 1 else ()), *(re.split("[/.]", word) if "/" in word or "." in word else ())]
+        found = _WORD_TOKENS[word] = [t.lower() for t in parts if len(t) > 1]
+    return found
+
+
+_SIGNS = re.compile(r"[^\w\s./]")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def code_tokens_in_batches(text: pd.Series) -> pd.Series:
+    """The same as ``code_tokens``, by Arrow batches: what a word gives is found once per worker."""
+    return text.map(lambda t: [x for w in _SIGNS.sub(" ", t or "").split() for x in _word_tokens(w)])
+
+
 def token_set(text: Column) -> Column:
     """Distinct lower-case words without punctuation."""
     return F.array_distinct(words(F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", " ")))
@@ -70,16 +98,16 @@ def normalize_path(path: Column) -> Column:
 
 
 def line_citations(answer: Column) -> Column:
-    """Bracketed citations with lines: path, start_line, end_line; swapped lines are put in order."""
+    """Bracketed citations with lines: path, start_line, end_line; swapped lines are put in order, numbers beyond any file leave no citation."""
 
     def span(c: Column) -> Column:
-        first = c["1"].cast("long")
-        last = F.coalesce(F.nullif(c["2"], F.lit("")).cast("long"), first)
+        first = c["1"].try_cast("long")
+        last = F.coalesce(F.nullif(c["2"], F.lit("")).try_cast("long"), first)
         return F.struct(normalize_path(c["0"]).alias("path"), F.least(first, last).alias("start_line"), F.greatest(first, last).alias("end_line"))
 
     text = F.regexp_replace(F.coalesce(answer, F.lit("")), FENCE, "")
     groups = [F.regexp_extract_all(text, F.lit(LINE_CITATION), F.lit(g)) for g in (1, 2, 3)]
-    return F.transform(F.arrays_zip(*groups), span)
+    return F.filter(F.transform(F.arrays_zip(*groups), span), lambda c: c["start_line"].isNotNull())
 
 
 def file_citations(answer: Column) -> Column:
@@ -93,8 +121,8 @@ def loose_citations(answer: Column) -> Column:
     groups = [F.regexp_extract_all(text, F.lit(LOOSE_CITATION), F.lit(g)) for g in (1, 2, 3)]
 
     def cited(c: Column) -> Column:
-        first = F.nullif(c["1"], F.lit("")).cast("long")
-        return F.struct(c["0"].alias("path"), first.alias("start_line"), F.coalesce(F.nullif(c["2"], F.lit("")).cast("long"), first).alias("end_line"))
+        first = F.nullif(c["1"], F.lit("")).try_cast("long")
+        return F.struct(c["0"].alias("path"), first.alias("start_line"), F.coalesce(F.nullif(c["2"], F.lit("")).try_cast("long"), first).alias("end_line"))
 
     return F.filter(F.transform(F.arrays_zip(*groups), cited), lambda c: ~F.lower(c["path"]).rlike("^https?://"))
 

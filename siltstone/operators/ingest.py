@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -44,14 +45,12 @@ def paragraphs(numbered: DataFrame, key: str) -> DataFrame:
     return islands.where("not _blank").groupBy(key, "_island").agg(F.min("n").alias("start_line"), F.max("n").alias("end_line")).drop("_island")
 
 
+_UNIT = re.compile(r"\w+|[^\w\s]")
+
+
 def rough_tokens(line: str) -> int:
     """A stand-in for a model's tokenizer: words and single signs."""
-    count, inside = 0, False
-    for c in line:
-        word = c.isalnum() or c == "_"
-        count += (word and not inside) or not (word or c.isspace())
-        inside = word
-    return count
+    return len(_UNIT.findall(line))
 
 
 def packed_lines(text: str, most: int, overlap: int = 0) -> Iterator[tuple[int, int, str, int]]:
@@ -99,7 +98,7 @@ class PythonSymbols:
     def eval(self, source: str):
         try:
             tree = ast.parse(source or "")
-        except (SyntaxError, ValueError):
+        except (SyntaxError, ValueError, RecursionError, MemoryError):  # the parser gives up on deep nesting by one of the last two
             return
         todo = [(tree, "", False)]
         while todo:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import vectors
-from siltstone.sources.storage import shared_path
+from siltstone.sources.storage import written
 
 K1, B, DELTA = 1.5, 0.75, 1.0
 
@@ -64,12 +64,12 @@ def bm25(queries: DataFrame, docs: DataFrame, tokens, k: int, threshold: float =
     matching documents need to be joined. Documents without any query term
     are therefore not listed. Ties go to the smaller doc_id.
     """
-    stats = docs.select(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avg_length"))
+    # texts are tokenized once, for lengths and postings; what is read twice is written
+    read = written(docs.select("doc_id", tokens(F.col("text")).alias("tokens")), "tokens")
+    stats = read.select(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_length"))
     asked = queries.select("query_id", F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    asked = small(asked, 200_000)
-    path = shared_path(docs.sparkSession, "postings")  # read twice, so the texts are tokenized for it once
-    postings(docs, tokens(F.col("text"))).join(asked.select("term").distinct(), "term", "left_semi").write.parquet(path)
-    found = docs.sparkSession.read.schema("term string, doc_id long, length long, tf long").parquet(path)
+    asked = small(written(asked, "asked"), 200_000)
+    found = written(postings(read, F.col("tokens")).join(asked.select("term").distinct(), "term", "left_semi"), "postings")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     weighted = asked.join(df, "term").join(F.broadcast(stats)).withColumn("idf", F.log((F.col("n") + 1) / F.col("df")) * F.col("times"))
     floor = weighted.groupBy("query_id").agg(F.sum(F.col("idf") * DELTA).alias("floor"))

@@ -81,14 +81,14 @@ list_filter(flatten(list_transform(
 
 
 def bm25_index_stats(spark: SparkSession, sf: str) -> DataFrame:
-    p = R.postings(read(spark, sf, "documents"), T.code_tokens(F.col("text")))
+    p = R.postings(read(spark, sf, "documents"), T.code_tokens_in_batches(F.col("text")))
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The benchmark's passages, whole, against all documents."""
     q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    out = R.bm25(q, read(spark, sf, "documents"), T.code_tokens, 10)
+    out = R.bm25(q, read(spark, sf, "documents"), T.code_tokens_in_batches, 10)
     return out.select("query_id", "rank", "doc_id", F.round("raw_score", 6).alias("raw_score"), F.round("score", 6).alias("score"))
 
 
@@ -116,7 +116,7 @@ def hybrid_fusion(spark: SparkSession, sf: str) -> DataFrame:
     queries = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     asking = e.join(queries.select("query_id"), e["vec_id"] == F.col("query_id")).select("query_id", F.col("embedding").alias("query_vector"))
     dense = R.dense(asking, _items(e), 7, exclude_self=True)
-    sparse = R.bm25(queries, read(spark, sf, "documents"), T.code_tokens, 7).withColumnRenamed("doc_id", "item_id")
+    sparse = R.bm25(queries, read(spark, sf, "documents"), T.code_tokens_in_batches, 7).withColumnRenamed("doc_id", "item_id")
     out = R.fuse(dense, sparse, F.lit(0.7), F.lit(0.3), F.lit(0.1), F.lit(7))
     return out.select("query_id", "rank", "item_id", *(F.round(c, 6).alias(c) for c in ("dense_score", "sparse_score", "score")))
 

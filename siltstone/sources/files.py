@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import artifact_id
 
 # Fixed values.
-EXCLUDED_FOLDERS = (".git", "__pycache__", "node_modules", ".venv", "venv", "env", "dist", "build", ".tox", ".mypy_cache", ".pytest_cache", ".idea", ".vscode", "site-packages", "htmlcov", ".eggs", "target", "coverage")
+EXCLUDED_FOLDERS = (
+    ".git", "node_modules", ".venv", "venv", "env", ".env", "build", "dist", "target", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".idea", ".vscode", "vendor", "egg-info", ".eggs",
+)
+EXCLUDED_EXTENSIONS = (
+    "pyc", "pyo", "pyd", "class", "o", "obj", "so", "dll", "dylib", "exe", "bin", "png", "jpg", "jpeg", "gif", "ico", "svg", "pdf", "zip", "tar", "gz", "7z", "woff", "woff2", "ttf", "eot", "mp4", "mp3", "wav",
+)
 LANGUAGES = {
-    "py": ("python", "source_code"), "js": ("javascript", "source_code"), "ts": ("typescript", "source_code"), "java": ("java", "source_code"), "go": ("go", "source_code"), "rs": ("rust", "source_code"),
-    "c": ("c", "source_code"), "cpp": ("cpp", "source_code"), "h": ("c", "source_code"), "rb": ("ruby", "source_code"), "sh": ("shell", "source_code"), "sql": ("sql", "source_code"),
-    "md": ("markdown", "documentation"), "rst": ("restructuredtext", "documentation"), "txt": ("text", "documentation"), "html": ("html", "documentation"),
-    "json": ("json", "configuration"), "yaml": ("yaml", "configuration"), "yml": ("yaml", "configuration"), "toml": ("toml", "configuration"), "ini": ("ini", "configuration"), "cfg": ("ini", "configuration"),
+    "py": ("python", "source_code"), "js": ("javascript", "source_code"), "ts": ("typescript", "source_code"), "jsx": ("javascript", "source_code"), "tsx": ("typescript", "source_code"),
+    "java": ("java", "source_code"), "go": ("go", "source_code"), "rs": ("rust", "source_code"), "cpp": ("cpp", "source_code"), "cc": ("cpp", "source_code"), "cxx": ("cpp", "source_code"),
+    "c": ("c", "source_code"), "h": ("c", "source_code"), "hpp": ("cpp", "source_code"), "cs": ("csharp", "source_code"), "rb": ("ruby", "source_code"), "kt": ("kotlin", "source_code"),
+    "scala": ("scala", "source_code"), "sh": ("shell", "source_code"), "bash": ("shell", "source_code"), "sql": ("sql", "source_code"),
+    "md": ("other", "markdown"), "markdown": ("other", "markdown"), "txt": ("other", "plain_text"), "rst": ("other", "markdown"),
+    "yaml": ("yaml", "configuration"), "yml": ("yaml", "configuration"), "json": ("json", "configuration"), "toml": ("toml", "configuration"),
 }
 MOST_BYTES = 1 << 20
 
@@ -31,17 +38,30 @@ def classified(paths: DataFrame) -> DataFrame:
 
 
 def source_tree(spark: SparkSession, root: str, repository: str, extensions: tuple[str, ...] | None = None) -> DataFrame:
-    """Text files under ``root``: artifact_id, repository, path, language, artifact_type, text. Hidden and excluded folders, empty files and those over a mebibyte are left out."""
+    """Text files under ``root``: artifact_id, repository, path, language, artifact_type, text.
+
+    Hidden and excluded folders, excluded extensions, empty files and those
+    over a mebibyte are left out; bytes that are no UTF-8 are replaced.
+    """
+    found = _inside(spark, root, extensions).where(F.col("length").between(1, MOST_BYTES))
+    out = classified(found.withColumn("text", F.make_valid_utf8(F.col("content").cast("string"))))
+    return out.select(artifact_id(F.lit(repository), F.col("path"), F.col("text")).alias("artifact_id"), F.lit(repository).alias("repository"), "path", "language", "artifact_type", "text")
+
+
+def count_sources(spark: SparkSession, root: str, extensions: tuple[str, ...] | None = None) -> int:
+    """How many files a scan would look at, whatever their size; no content is read."""
+    return _inside(spark, root, extensions).select("path").count()
+
+
+def _inside(spark: SparkSession, root: str, extensions: tuple[str, ...] | None) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     inside = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
     base = "/" + root.split("://")[-1].strip("/") + "/"
-    files = files.withColumn("path", F.replace(inside, F.lit(base), F.lit(""))).where(F.col("length").between(1, MOST_BYTES))
+    files = files.withColumn("path", F.replace(inside, F.lit(base), F.lit("")))
     folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
     files = files.where(~F.arrays_overlap(folders, F.array(*map(F.lit, EXCLUDED_FOLDERS))) & ~F.exists(folders, lambda d: d.startswith(".")))
-    if extensions:
-        files = files.where(extension(F.col("path")).isin(*extensions))
-    out = classified(files.withColumn("text", F.decode("content", "UTF-8")))
-    return out.select(artifact_id(F.lit(repository), F.col("path"), F.col("text")).alias("artifact_id"), F.lit(repository).alias("repository"), "path", "language", "artifact_type", "text")
+    files = files.where(~extension(F.col("path")).isin(*EXCLUDED_EXTENSIONS))
+    return files.where(extension(F.col("path")).isin(*extensions)) if extensions else files
 
 
 def commit_log(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:

@@ -32,3 +32,10 @@ def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def write_partitioned(table: DataFrame, path: str, *by: str) -> None:
     """One folder per value; rows of a value are first brought together, large values over several files."""
     table.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for what is used more than once."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
