@@ -56,3 +56,76 @@ def review_status(decisions: DataFrame, needed: int = 1) -> DataFrame:
 def drift(one: DataFrame, other: DataFrame) -> DataFrame:
     """Fields (field, value) that differ between two manifests."""
     return one.withColumnRenamed("value", "a").join(other.withColumnRenamed("value", "b"), "field", "full").where(~F.col("a").eqNullSafe(F.col("b")))
+
+
+def evidence_rules(mode: Column, is_evidence: Column, cached_from: Column) -> dict[str, Column]:
+    """A mock is no evidence; a cached run, and only one, names where it comes from."""
+    return {"mock_is_no_evidence": implies(mode == "mock", ~is_evidence), "cached_iff_source": (mode == "cached_run") == cached_from.isNotNull()}
+
+
+def score_rules(score: Column, provenance: Column, executed: Column, passed: Column, threshold: Column) -> dict[str, Column]:
+    """A score and its provenance are both there or neither; a gate that ran says whether it passed, and of what."""
+    return {"score_iff_provenance": same_nullness(score, provenance), "gate_reports": implies(executed, passed.isNotNull() & threshold.isNotNull())}
+
+
+def attempt_violations(attempts: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rules that a run breaks: run_id, rule.
+
+    ``attempts`` (run_id, attempt, has_retrieval), ``runs`` (run_id, system,
+    steps, max_steps, gate_ran, verdict, passed). Attempts are numbered from 0
+    without gaps and one more than the escalation steps; steps keep to their
+    bound; system A retrieves nothing, the others in every attempt; the gate
+    runs for system E only; verified means passed, refused not passed.
+    """
+    n = attempts.groupBy("run_id").agg(F.count("*").alias("n"), F.countDistinct("attempt").alias("d"), F.min("attempt").alias("low"), F.max("attempt").alias("high"), F.count_if("has_retrieval").alias("r"))
+    both = runs.join(n, "run_id", "left").fillna(0, ["n", "d", "r"])
+    alone = F.col("system") == "A"
+    rules = {
+        "attempts_gapless": (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("d") == F.col("n")),
+        "steps_match": F.col("steps") == F.col("n") - 1,
+        "steps_bounded": F.col("steps") <= F.col("max_steps"),
+        "retrieval_by_system": F.when(alone, F.col("r") == 0).otherwise(F.col("r") == F.col("n")),
+        "gate_iff_system_e": F.col("gate_ran") == (F.col("system") == "E"),
+        "verdict_follows": implies(F.col("verdict") == "verified", F.col("passed")) & implies(F.col("verdict") == "refused", ~F.col("passed")),
+    }
+    return broken(both, "run_id", rules)
+
+
+def label_rules(status: Column, split: Column, evidence: Column, relevant: Column) -> dict[str, Column]:
+    """Approval needs evidence, all of it in relevant files; labels of the test split are not to be had."""
+    return {
+        "approved_has_evidence": implies(status == "approved", F.size(evidence) > 0),
+        "evidence_is_relevant": F.size(F.array_except(evidence, relevant)) == 0,
+        "relevant_unless_draft": (status == "draft") | (F.size(relevant) > 0),
+        "no_test_split": split != "test",
+    }
+
+
+def binding_decisions(decisions: DataFrame, items: DataFrame) -> DataFrame:
+    """The decisions that count: on an item's present content, by somebody it is assigned to, who did not write it.
+
+    ``decisions`` (item_id, item_sha, reviewer, decision, seq), ``items``
+    (item_id, item_sha, author, assigned: an array of reviewers).
+    """
+    held = decisions.join(items, ["item_id", "item_sha"])
+    return held.where((F.col("reviewer") != F.col("author")) & F.array_contains("assigned", F.col("reviewer"))).select("item_id", "reviewer", "decision", "seq")
+
+
+def review_states(decisions: DataFrame, items: DataFrame) -> DataFrame:
+    """Per item (also undecided ones): its status; held-out items need two approvals."""
+    latest = binding_decisions(decisions, items).groupBy("item_id", "reviewer").agg(F.max_by("decision", "seq").alias("decision"))
+    n = latest.groupBy("item_id").agg(*(F.count_if(F.col("decision") == d).alias(d) for d in ("reject", "fix", "approve")))
+    both = items.select("item_id", F.when(F.col("held_out"), 2).otherwise(1).alias("needed")).join(n, "item_id", "left").fillna(0, ["reject", "fix", "approve"])
+    status = F.when(F.col("reject") > 0, "rejected").when(F.col("fix") > 0, "needs_fix").when(F.col("approve") >= F.col("needed"), "approved").when(F.col("approve") > 0, "partial").otherwise("pending")
+    return both.select("item_id", status.alias("status"))
+
+
+def queue_clashes(queue: DataFrame, others: DataFrame) -> DataFrame:
+    """Items of a queue that another one holds already."""
+    return queue.join(others.select("item_id"), "item_id", "left_semi")
+
+
+def held_out_violations(runs: DataFrame) -> DataFrame:
+    """Runs (run_id, split, final, at) on the test split that are not marked final, or not the first that is."""
+    test = runs.where("split = 'test'").withColumn("turn", F.expr("row_number() over (partition by final order by at, run_id)"))
+    return test.where("not final or turn > 1").select("run_id", F.when(F.col("final"), "repeated").otherwise("not_final").alias("rule"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from siltstone.functions.text import content_hash
+from siltstone.sources.tables import spread
 
 
 def first_by_content(artifacts: DataFrame, text: Column, order: Column) -> DataFrame:
@@ -125,7 +126,7 @@ class PythonSymbols:
 
 def chunk(artifacts: DataFrame, key: str, text: str, most_tokens: int = 512, overlap: int = 0) -> DataFrame:
     """The chunks of each artifact with their index: key, chunk_index, start_line, end_line, content, token_count."""
-    found = artifacts.select(key, text).lateralJoin(LineChunks(F.col(text).outer(), F.lit(most_tokens), F.lit(overlap)))
+    found = spread(artifacts.select(key, text)).lateralJoin(LineChunks(F.col(text).outer(), F.lit(most_tokens), F.lit(overlap)))
     index = F.expr(f"row_number() over (partition by {key} order by start_line, end_line, content) - 1")
     return found.select(key, index.alias("chunk_index"), "start_line", "end_line", "content", "token_count")
 

@@ -7,13 +7,17 @@ numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import vectors
+from siltstone.operators import batches
 from siltstone.sources.storage import written
+from siltstone.sources.tables import spread
 
 K1, B, DELTA = 1.5, 0.75, 1.0
+#: So many query rows (vectors, or terms of queries) are held by every task; more are joined.
+MOST_HELD = 100_000
 
 
 def small(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
@@ -23,8 +27,6 @@ def small(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
 
 def top(df: DataFrame, k: int | Column, by: str, *order: Column) -> DataFrame:
     """The first ``k`` rows per ``by`` with their rank from 1. The order must be total."""
-    from pyspark.sql import Window
-
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
@@ -35,6 +37,12 @@ def dense(queries: DataFrame, items: DataFrame, k: int, threshold: float = 0.0,
     ``items`` (item_id, vector). Scores below a positive threshold are cut.
     Null vectors take no part. Ties go to the smaller item_id.
     """
+    if metric in ("cosine", "dot"):
+        asked_rows = queries.where("query_vector is not null").limit(MOST_HELD + 1).collect()
+        if len(asked_rows) <= MOST_HELD and len({len(r["query_vector"]) for r in asked_rows}) == 1:
+            same = items.where(F.size("vector") == len(asked_rows[0]["query_vector"]))
+            found = batches.dense_best(asked_rows, queries.schema["query_id"].dataType, same.where(~F.exists("vector", lambda x: x.isNull())), k, threshold, metric == "cosine", exclude_self)
+            return top(found, k, "query_id", F.desc("score"), F.asc("item_id"))
     length = lambda c: vectors.norm(F.col(c)) if metric == "cosine" else F.lit(1.0)
     held, asked = items.where("vector is not null"), queries.where("query_vector is not null")
     held, asked = held.withColumn("_length", length("vector")), asked.withColumn("_query_length", length("query_vector"))
@@ -65,10 +73,15 @@ def bm25(queries: DataFrame, docs: DataFrame, tokens, k: int, threshold: float =
     are therefore not listed. Ties go to the smaller doc_id.
     """
     # texts are tokenized once, for lengths and postings; what is read twice is written
-    read = written(docs.select("doc_id", tokens(F.col("text")).alias("tokens")), "tokens")
+    read = written(spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("tokens")), "tokens")
     stats = read.select(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_length"))
     asked = queries.select("query_id", F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    asked = small(written(asked, "asked"), 200_000)
+    asked = written(asked, "asked")
+    asked_rows = asked.limit(MOST_HELD + 1).collect()
+    if len(asked_rows) <= MOST_HELD:
+        n, mean = stats.first()
+        scored = batches.bm25_best(batches.Asked(asked_rows), queries.schema["query_id"].dataType, read, n, mean or 1.0, k, K1, B, DELTA)
+        return _scaled(scored, k, threshold)
     found = written(postings(read, F.col("tokens")).join(asked.select("term").distinct(), "term", "left_semi"), "postings")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     weighted = asked.join(df, "term").join(F.broadcast(stats)).withColumn("idf", F.log((F.col("n") + 1) / F.col("df")) * F.col("times"))
@@ -76,9 +89,14 @@ def bm25(queries: DataFrame, docs: DataFrame, tokens, k: int, threshold: float =
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     scored = found.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * part).alias("matched"))
     scored = scored.join(floor, "query_id").select("query_id", "doc_id", (F.col("matched") + F.col("floor")).alias("raw_score")).where("raw_score > 0")
-    best = scored.groupBy("query_id").agg(F.max("raw_score").alias("best"))
-    scored = scored.join(best, "query_id").withColumn("score", F.col("raw_score") / F.col("best")).drop("best").where(F.col("score") >= threshold)
-    return top(scored, k, "query_id", F.desc(F.round("raw_score", 9)), F.asc("doc_id"))
+    return _scaled(scored, k, threshold)
+
+
+def _scaled(scored: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The ``k`` best of each query, with the score as a share of its largest."""
+    best = F.max("raw_score").over(Window.partitionBy("query_id"))
+    ranked = top(scored, k, "query_id", F.desc(F.round("raw_score", 9)), F.asc("doc_id"))
+    return ranked.withColumn("score", F.col("raw_score") / best).where(F.col("score") >= threshold)
 
 
 def fuse(one: DataFrame, other: DataFrame, one_weight: Column, other_weight: Column, threshold: Column, pool: Column) -> DataFrame:

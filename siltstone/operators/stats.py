@@ -136,3 +136,59 @@ def bootstrap_mean(df: DataFrame, value: str, *by: str, draws: int = 1000, seed:
 def min_detectable_effect(n: Column, sd: Column, wilcoxon_efficiency: float = 0.955) -> Column:
     """At a power of 0.8 and a level of 0.05."""
     return 2.801585 * sd / F.sqrt(n * wilcoxon_efficiency)
+
+
+def fleiss_kappa(ratings: DataFrame, item: str, rater: str, category: str) -> DataFrame:
+    """n_items, observed and expected agreement and kappa of several raters; items with a single rating take no part.
+
+    Kappa is null if agreement by chance is certain.
+    """
+    latest = ratings.where(F.col(category).isNotNull()).groupBy(item, rater).agg(F.max(category).alias("_c"))
+    cells = latest.groupBy(item, "_c").agg(F.count("*").alias("k"))
+    items = cells.groupBy(item).agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("kk")).where("m > 1")
+    agreed = (F.col("kk") - F.col("m")) / (F.col("m") * (F.col("m") - 1))
+    seen = items.agg(F.count("*").alias("n_items"), F.avg(agreed).alias("observed"), F.sum("m").alias("all"))
+    shares = cells.join(items.select(item), item, "left_semi").groupBy("_c").agg(F.sum("k").alias("k"))
+    chance = shares.agg(F.sum(F.col("k") * F.col("k")).alias("squares"))  # one row of at most as many categories squared
+    both = seen.crossJoin(F.broadcast(chance)).select("n_items", "observed", (F.col("squares") / (F.col("all") * F.col("all"))).alias("expected"))
+    return both.withColumn("kappa", (F.col("observed") - F.col("expected")) / F.nullif(1 - F.col("expected"), F.lit(0.0)))
+
+
+def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Tau-b from the table of counts of value pairs: n, concordant, discordant, tau.
+
+    Both columns are ratings of few values; what is joined with itself is the
+    table of distinct pairs, not the rows.
+    """
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
+    a, b = cells.alias("a"), cells.alias("b")
+    ahead = a.join(b, F.col("a.x") < F.col("b.x"), "inner")
+    pairs = ahead.agg(
+        F.coalesce(F.sum(F.when(F.col("a.y") < F.col("b.y"), F.col("a.c") * F.col("b.c"))), F.lit(0)).alias("concordant"),
+        F.coalesce(F.sum(F.when(F.col("a.y") > F.col("b.y"), F.col("a.c") * F.col("b.c"))), F.lit(0)).alias("discordant"),
+    )
+
+    def tied(c: str) -> DataFrame:
+        n = cells.groupBy(c).agg(F.sum("c").alias("n"))
+        return n.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(f"tied_{c}"))
+
+    n = cells.agg(F.sum("c").alias("n"))
+    whole = n.crossJoin(F.broadcast(pairs)).crossJoin(F.broadcast(tied("x"))).crossJoin(F.broadcast(tied("y")))  # one row each
+    every = F.col("n") * (F.col("n") - 1) / 2
+    scale = F.sqrt((every - F.col("tied_x")) * (every - F.col("tied_y")))
+    return whole.select("n", "concordant", "discordant", ((F.col("concordant") - F.col("discordant")) / F.nullif(scale, F.lit(0.0))).alias("tau"))
+
+
+def ladder(systems: tuple[str, ...]) -> list[tuple[str, str]]:
+    """Each system against the one before it."""
+    return list(zip(systems[:-1], systems[1:], strict=True))
+
+
+def compare_by_stratum(means: DataFrame, strata: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``compare`` within each stratum (task_id, stratum), Holm-adjusted over the pairs of a stratum."""
+    keyed = means.join(strata, "task_id").withColumn("system_id", F.concat_ws("|", "stratum", "system_id"))
+    wanted = strata.select("stratum").distinct().join(F.broadcast(pairs))  # few strata, few pairs
+    named = wanted.select(F.concat_ws("|", "stratum", "a").alias("a"), F.concat_ws("|", "stratum", "b").alias("b"))
+    found = compare(keyed.select("system_id", "task_id", "value"), named)
+    side = lambda c: F.substring_index(c, "|", -1)
+    return holm(found.select(F.substring_index("a", "|", 1).alias("stratum"), side("a").alias("a"), side("b").alias("b"), F.concat_ws("-", side("a"), side("b")).alias("name"), "n", "mean_diff", "p_value"), "stratum")

@@ -107,3 +107,29 @@ def pending(plan: DataFrame, ledger: DataFrame, retry_errors: bool = False) -> D
     """Units of the plan that the ledger hasn't seen (or hasn't seen succeed)."""
     done = ledger.where("status = 'ok'") if retry_errors else ledger
     return plan.join(done.select("unit_id"), "unit_id", "left_anti")
+
+
+def status_counts(plan: DataFrame, ledger: DataFrame) -> DataFrame:
+    """How many units of the plan stand where by their latest row of the ledger (unit_id, status, seq); unseen ones are pending."""
+    last = ledger.groupBy("unit_id").agg(F.max_by("status", "seq").alias("status"))
+    return plan.select("unit_id").join(last, "unit_id", "left").groupBy(F.coalesce("status", F.lit("pending")).alias("status")).agg(F.count("*").alias("n"))
+
+
+def cheapest_per_tier(profiles: DataFrame) -> DataFrame:
+    """Of each tier the profile of the lowest cost, an unknown cost last: tier, model_id, cost."""
+    order = F.struct(F.col("cost").isNull().alias("unknown"), "cost", "model_id")
+    return profiles.groupBy("tier").agg(F.min_by(F.struct("model_id", "cost"), order).alias("p")).select("tier", "p.model_id", "p.cost")
+
+
+def first_seen(rows: DataFrame, by: str, value: str, order: str) -> DataFrame:
+    """The distinct values of each group in the order in which they first occur: by, value, position."""
+    first = rows.groupBy(by, value).agg(F.min(order).alias("_first"))
+    return first.withColumn("position", F.expr(f"row_number() over (partition by {by} order by _first, {value})")).drop("_first")
+
+
+def study_summary(runs: DataFrame, by: str) -> DataFrame:
+    """``runs`` (error, peak, total) per group: how many succeeded and failed, the distinct errors in order, extremes of the peak, and whether any came within 128 of the total."""
+    return runs.groupBy(by).agg(
+        F.count_if(F.col("error").isNull()).alias("n_ok"), F.count("error").alias("n_error"), F.array_join(F.sort_array(F.collect_set("error")), "|").alias("errors"),
+        F.min("peak").alias("low"), F.max("peak").alias("high"), F.bool_or(F.col("peak") >= F.col("total") - 128).alias("saturated"),
+    )
