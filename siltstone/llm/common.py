@@ -9,13 +9,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.sources.tables import spread
+
 #: The white space that separates words everywhere in these operators.
 SPACE = rb"[\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table ``name`` of a data directory, through Spark's reader only."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table ``name`` of a data directory, through Spark's reader only, over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_folder(spark: SparkSession) -> str:
