@@ -112,9 +112,10 @@ def totals(asked: DataFrame, parts: int) -> DataFrame:
             keys = [base + np.cumsum(unplaned(k, "<u8"), dtype=np.uint64) for k in group["keys"].to_pylist()]
         counts = [unplaned(c, "<u4") for c in group["counts"].to_pylist()]
         every, where = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(where, np.concatenate(counts), len(every)).astype(np.uint64)
+        total = np.zeros(len(every), np.uint64)
+        np.add.at(total, where, np.concatenate(counts).astype(np.uint64))
         ends = np.cumsum([0, *map(len, keys)]).tolist()
-        out = [planes(np.minimum(total[where[a:b]], np.uint64(0xFFFFFFFF)).astype(np.uint32)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        out = [planes(total[where[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.table({"block": group["block"], "part": group["part"], "totals": pa.array(out, pa.binary())})
 
     return asked.groupBy("part").applyInArrow(answer, "block long, part int, totals binary")
@@ -123,7 +124,7 @@ def totals(asked: DataFrame, parts: int) -> DataFrame:
 def answers(group: pa.Table) -> np.ndarray:
     """The totals of all keys of one block, in the order of the keys."""
     rows = sorted(zip(group["part"].to_pylist(), group["totals"].to_pylist(), strict=True))
-    return np.concatenate([unplaned(t, "<u4") for _, t in rows]) if rows else np.zeros(0, np.uint32)
+    return np.concatenate([unplaned(t, "<u8") for _, t in rows]) if rows else np.zeros(0, np.uint64)
 
 
 def by_block(payload: DataFrame, answered: DataFrame, use: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -134,4 +135,4 @@ def by_block(payload: DataFrame, answered: DataFrame, use: Callable[[pa.Table, p
 def parts_for(docs_blocks: DataFrame, keys_per_byte: float, part_keys: int = 1_500_000) -> tuple[int, int]:
     """How many parts hold about ``part_keys`` requested keys each, and the bytes of all texts."""
     size = docs_blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    return max(1, min(1 << 20, int(size * keys_per_byte / part_keys) + 1)), size
+    return int(size * keys_per_byte / part_keys) + 1, size

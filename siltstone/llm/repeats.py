@@ -219,7 +219,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, with_text: bool = True, p
     half = written(by_block(cut, first, sift, f"{RESULT}, {OPEN}"), "repeats-half")
     opened = half.where("block is not null").select("block", "docs", "texts")
     left = half.agg(F.sum("n_open")).first()[0] or 0
-    more = max(1, min(1 << 20, int(left / part_keys) + 1))
+    more = int(left / part_keys) + 1
 
     def ask_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
