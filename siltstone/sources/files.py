@@ -49,7 +49,7 @@ def source_tree(spark: SparkSession, root: str, repository: str, extensions: tup
 
 
 def count_sources(spark: SparkSession, root: str, extensions: tuple[str, ...] | None = None) -> int:
-    """How many files a scan would look at, whatever their size; no content is read."""
+    """How many files a scan would look at, however large; no content is read. The reader itself passes over empty files."""
     return _inside(spark, root, extensions).select("path").count()
 
 

@@ -163,11 +163,14 @@ def test_constraints(spark):
 
 
 def test_sources(spark, tmp_path):
-    for path, text in {"src/a.py": "x = 1", "node_modules/b.js": "no", ".hidden/c.py": "no", "README.md": "# hi", "empty.py": ""}.items():
+    for path, text in {"src/a.py": "x = 1", "node_modules/b.js": "no", ".hidden/c.py": "no", "README.md": "# hi", "empty.py": "", "vendor/d.py": "no", "site-packages/e.tsx": "yes", "logo.png": "no"}.items():
         (tmp_path / "tree" / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "tree" / path).write_text(text)
+    (tmp_path / "tree" / "odd.txt").write_bytes(b"caf\xe9")
     found = files.SOURCES.load("tree", spark, f"{tmp_path}/tree", "acme/x")
-    assert sorted((r.path, r.language) for r in found.collect()) == [("README.md", "markdown"), ("src/a.py", "python")]
+    assert files.count_sources(spark, f"{tmp_path}/tree") == 4
+    assert [r.text for r in found.collect() if r.path == "odd.txt"] == ["caf\ufffd"]
+    assert sorted((r.path, r.language) for r in found.collect()) == [("README.md", "other"), ("odd.txt", "other"), ("site-packages/e.tsx", "typescript"), ("src/a.py", "python")]
     (tmp_path / "log").write_text("abc\x1fme\x1f2024\x1ffix\x1fa.py\nb.py\x1ebroken\x1e")
     assert files.commit_log(spark, f"{tmp_path}/log").first().files == ["a.py", "b.py"]
     (tmp_path / "events.jsonl").write_text('{"a": 1}\n{"a": 2}\n{"a": ')
