@@ -247,3 +247,12 @@ def test_deeply_nested_header_is_no_token(spark):
     nested = b64url(b'{"a":' * 60_000 + b"1" + b"}" * 60_000)
     found = X.secret_spans(spark.createDataFrame([(1, f"ey {nested}.{b64url(b'{}')}.x"), (2, "ey" + "." * 9 + "x" * 3_000_000)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_assign, r.spans.count("token")) for r in found) == [(1, 0, 0), (2, 0, 0)]
+
+
+def test_fit_settles_where_labels_are_told_apart():
+    rng = np.random.default_rng(2)
+    toxic = (np.arange(400) % 8 == 0).astype(float)
+    sums = np.where(toxic > 0, rng.integers(5, 400, 400), 0).astype(float)
+    x = np.c_[np.ones(400), sums, np.log1p(sums > 0), sums, rng.standard_normal(400)]
+    w = np.array(T.fit(x, toxic, np.zeros(5)))
+    assert np.isfinite(w).all() and ((x @ w >= 0) == (toxic > 0)).all()
