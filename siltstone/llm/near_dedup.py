@@ -192,12 +192,13 @@ def _groups_apart(members: DataFrame, bands: DataFrame) -> DataFrame:
     """What is to be held against what: part, node, comp, apart, chunks, shares.
 
     ``members`` (cluster, node, bytes, comp) are labelled by what is joined
-    already, ``bands`` (node, band) their bands. A part is a whole cluster or
+    already, ``bands`` (node, bands) are arrays of their bands, a row for each
+    text of a node; they are opened only once they lie beside it. A part is a whole cluster or
     one band's group; of a part's nodes those outside its largest component
     are apart. A part without any is left out.
     """
     whole = members.select("cluster", F.lit(None).cast("long").alias("band"), "node", "bytes", "comp")
-    grouped = members.join(bands, "node").select("cluster", "band", "node", "bytes", "comp")
+    grouped = members.join(bands, "node").select("cluster", F.explode("bands").alias("band"), "node", "bytes", "comp").distinct()
     every = whole.union(grouped).withColumn("part", F.struct("cluster", "band"))
     comps = every.groupBy("part", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
     parts = comps.groupBy("part").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("b").alias("b")).where("n > most")
@@ -275,8 +276,8 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     large = members.where(~small)
     if large.limit(1).count():
         nodes = written(large.select("node").distinct(), "near-large-nodes")  # written, so that the planner knows its size
-        bands = known.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").select("node", F.explode("bands").alias("band"))
-        links = links.union(_settle_large(large, written(bands.distinct(), "near-bands"), width, percent))
+        bands = known.select(F.col("doc_id").alias("node"), "bands").join(nodes, "node", "left_semi").distinct()
+        links = links.union(_settle_large(large, written(bands, "near-bands"), width, percent))
     comps = components(links)
     by_class = classes.join(comps, "node", "left").select("ka", "kb", F.coalesce("comp", "node").alias("comp"))
     every = sketches.select("doc_id", F.col("n").alias("n_shingles"), "ka", "kb").join(by_class, ["ka", "kb"], "left")

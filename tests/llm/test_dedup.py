@@ -83,7 +83,7 @@ def test_large_clusters_match_brute_force(spark, monkeypatch, by_band):
     monkeypatch.setattr(N, "CHUNK", 10)
     if not by_band:  # with every group of bands twenty times, the cluster as a whole is cheaper
         whole = N._groups_apart
-        monkeypatch.setattr(N, "_groups_apart", lambda members, bands: whole(members, bands.crossJoin(bands.sparkSession.range(20)).select("node", F.xxhash64("band", "id").alias("band"))))
+        monkeypatch.setattr(N, "_groups_apart", lambda members, bands: whole(members, bands.crossJoin(bands.sparkSession.range(20)).select("node", F.expr("transform(bands, band -> xxhash64(band, id))").alias("bands"))))
     found = N.near_components(cases.table(spark, data), 2, 80).collect()
     want, _ = brute(data, 2, 80)
     assert {r.doc_id: r.component_id for r in found} == want
