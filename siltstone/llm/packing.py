@@ -14,10 +14,11 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,23 +30,9 @@ END = 0
 _ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
-class Pieces(dict):
-    """The ids, as bytes, of the pieces into which text is split before its bytes are merged; a bounded number is remembered."""
-
-    def __init__(self, encode: Callable[[str], list[int]], kind: str, most: int = 400_000) -> None:
-        self.encode, self.kind, self.most = encode, kind, most
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        found = self[piece] = np.array(self.encode(piece), self.kind).tobytes()
-        return found
-
-
-_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
-#: The vocabulary's pattern for texts of the characters below only, where it splits in the same way and is found faster.
-_SPLIT = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
-_PLAIN = bytes([0x09, 0x0A, 0x0D, *range(0x20, 0x7F), *range(0xA1, 0xB2), *range(0xB4, 0xB9), 0xBA, 0xBB, *range(0xBF, 0x100)])
+#: A space that does not begin a piece. Before any other space a text can be cut and its parts encoded alone.
+_RUN = re.compile(r" (?:\s|\Z)")
+_NO_TERM = 1 << 32
 
 
 class Tokenizer:
@@ -69,22 +56,18 @@ class Tokenizer:
         self.mark = max(ranks.values()) + 1
         self.kind = "<u2" if self.mark < 1 << 16 else "<u4"
         encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.encode, self.pieces = encoding.encode_to_numpy, Pieces(encoding._encode_single_piece, self.kind)
+        self.encode = encoding.encode_to_numpy
+        self.bytes = np.zeros(self.mark + 1, np.int64)
         self.opens, self.sort, bare = np.zeros(self.mark + 1, bool), np.zeros(self.mark + 1, np.uint8), np.arange(self.mark + 1, dtype=np.uint64)
         for token, rank in ranks.items():
             body = token.lstrip()
+            self.bytes[rank] = len(token)
             self.opens[rank] = len(body) < len(token)
             self.sort[rank] = 0 if not body else 2 if body[:1].isalnum() or body[0] >= 0x80 else 1
             bare[rank] = ranks.get(body, rank)
         self.hashes = mixed(bare + np.uint64(1))
 
     def _ids(self, text: str) -> np.ndarray:
-        try:
-            plain = not text.encode("latin-1").translate(None, _PLAIN)
-        except UnicodeEncodeError:
-            plain = False
-        if plain:
-            return np.frombuffer(b"".join(map(self.pieces.__getitem__, _SPLIT.findall(text))), self.kind)
         return self.encode(text, disallowed_special=()).astype(self.kind)
 
     def ids(self, text: str) -> np.ndarray:
@@ -94,19 +77,72 @@ class Tokenizer:
         mark = np.array([self.mark], self.kind)
         return np.concatenate([x for part in parts for x in (mark, part)][1:])
 
-    def terms(self, ids: np.ndarray) -> np.ndarray:
-        """A 32-bit hash of each word: the ids from where one begins, or where letters and signs meet, to the next."""
+    def _words(self, ids: np.ndarray, starts: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin in the ids of texts, of which each begins at one of ``starts``, and the hash of each."""
         if not len(ids):
-            return np.zeros(0, np.uint32)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
         sort = self.sort[ids]
         begins = self.opens[ids]
-        begins[0] = True
+        begins[starts] = True
         begins[1:] |= sort[1:] != sort[:-1]
         first = np.flatnonzero(begins)
         place = np.arange(len(ids)) - np.repeat(first, np.diff(first, append=len(ids)))
         with np.errstate(over="ignore"):
             sums = np.add.reduceat(self.hashes[ids] * _ODD[place & 63], first)
-        return (mixed(sums[sort[first] == 2]) >> np.uint64(32)).astype(np.uint32)
+        stays = sort[first] == 2
+        return first[stays], (mixed(sums[stays]) >> np.uint64(32)).astype(np.uint32)
+
+    def terms(self, ids: np.ndarray) -> np.ndarray:
+        """A 32-bit hash of each word: the ids from where one begins, or where letters and signs meet, to the next."""
+        return self._words(ids)[1]
+
+    def _least(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The smallest term of each text in ids, whose texts end at ``ends``, or more than any if it has none."""
+        starts = np.r_[0, ends[:-1]]
+        at, terms = self._words(ids, starts[starts < len(ids)])
+        out = np.full(len(ends), _NO_TERM, np.int64)
+        np.minimum.at(out, np.searchsorted(ends, at, "right"), terms.astype(np.int64))
+        return out
+
+    def of_batch(self, texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        """The ids of each text and its smallest term.
+
+        What stands between the spaces of all texts is encoded once for each
+        different string, with the space before it, and dealt out again. Texts
+        with a run of white space that holds or follows a space, or with the
+        mark, are encoded as a whole.
+        """
+        if not texts:
+            return [], []
+        ids, tails, of = [], [], []
+        for k, text in enumerate(texts):
+            whole = _RUN.search(text) is not None or self.MARK in text
+            head, space, tail = (text, "", "") if whole else text.partition(" ")
+            ids.append(self.ids(head))
+            if space:
+                tails.append(tail)
+                of.append(k)
+        least = self._least(np.concatenate(ids), np.cumsum([len(x) for x in ids])).tolist()
+        if not tails:
+            return ids, least
+        split = pc.split_pattern(pa.array(tails, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        word, words = coded.indices.to_numpy(), coded.dictionary
+        once = self._ids(" " + pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar(" ", words.type))[0].as_py())
+        ends = np.cumsum(1 + pc.binary_length(words).to_numpy())  # in bytes
+        ends = np.searchsorted(np.cumsum(self.bytes[once]), ends) + 1  # in ids
+        starts = np.r_[0, ends[:-1]]
+        smallest = self._least(once, ends)
+        n = (ends - starts)[word]
+        upto = np.cumsum(n)
+        every = once[np.repeat(starts[word] - upto + n, n) + np.arange(upto[-1])]
+        offsets = split.offsets.to_numpy()
+        of_tail = np.minimum.reduceat(smallest[word], offsets[:-1]).tolist()
+        bounds = np.r_[0, upto][offsets].tolist()
+        for k, low, high, term in zip(of, bounds[:-1], bounds[1:], of_tail, strict=True):
+            ids[k] = np.concatenate((ids[k], every[low:high]))
+            least[k] = min(least[k], term)
+        return ids, least
 
 
 _LOADED: dict[str, Tokenizer] = {}
@@ -238,13 +274,9 @@ def _tokenized(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path)
         for batch in pieces(batches, 8 << 20):
-            n, route, ids = [], [], []
-            for text in batch.column(1).to_pylist():
-                x = np.append(coder.ids(text or ""), np.array([END], coder.kind))
-                t = coder.terms(x[:-1])
-                n.append(len(x))
-                route.append(int(t.min()) if len(t) else 0)
-                ids.append(x.tobytes())
+            ids, least = coder.of_batch([text or "" for text in batch.column(1).to_pylist()])
+            n, route = [len(x) + 1 for x in ids], [0 if x == _NO_TERM else x for x in least]
+            ids = [np.append(x, np.array([END], coder.kind)).tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(route, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "route", "ids"])
 
     return run

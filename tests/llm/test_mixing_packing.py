@@ -97,16 +97,19 @@ def test_packing_round_trip(spark):
 
 
 def test_ids_of_any_text():
-    """The faster way to split texts, and the other, give the library's ids."""
+    """Texts on their own, and as a batch whose words are encoded once, get the library's ids."""
     coder, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), P.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rng = random.Random(8)
     signs = ["a", "Z", "é", "ß", "ÿ", "ª", "µ", "²", "¼", "×", "'", "'s", "'ll", "'Ll", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "0", "12", "_", "-", "<|endoftext|>", "漢", "😀", "ſ", "don't", "...", " ,"]
     for k in range(3000):
         text = "".join(rng.choice(signs[:27] if k % 2 else signs) for _ in range(rng.randint(0, 14)))
         assert own.ids(text).tolist() == coder.encode(text, add_special_tokens=False).ids, text
-    own.pieces.most = 3
-    assert own.ids("one two three four five six").tolist() == coder.encode("one two three four five six").ids
-    own.pieces.most = 400_000
+    texts = ["", " ", "one", " one", "one two  three", "one two", "two one\n", "two\n one\n two", "!! ?", "one <|endoftext|> two", "x" * 3000 + " y"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(2000)]
+    for some in ([], [""], ["one"], texts):
+        ids, least = own.of_batch(some)
+        assert [x.tolist() for x in ids] == [coder.encode(text, add_special_tokens=False).ids for text in some]
+        assert least == [min([*own.terms(x).tolist(), P._NO_TERM]) for x in ids]
 
 
 def test_terms_are_words():
