@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import checks, exact_dedup, lm_scoring, mixing, near_dedup, neighbours, packing, repeats, secrets, sharding, toxicity
+from . import bpe, checks, exact_dedup, lm_scoring, mixing, near_dedup, neighbours, packing, repeats, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_repeats": repeats.op8_repeats,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_packing": packing.op10_packing,
+    "op12_bpe": bpe.op12_bpe,
     **checks.QUERIES,
 }
 
