@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, checks, exact_dedup, lm_scoring, mixing, near_dedup, neighbours, packing, repeats, secrets, sharding, toxicity
+from . import bpe, checks, exact_dedup, lm_scoring, mixing, near_dedup, neighbours, packing, repeats, secrets, sharding, spelling, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -17,11 +17,13 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_packing": packing.op10_packing,
     "op12_bpe": bpe.op12_bpe,
+    "op13_spelling": spelling.op13_spelling,
     **checks.QUERIES,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op5_lm_scoring": lm_scoring.ORACLE,
+    "op13_spelling": spelling.ORACLE,
     **checks.ORACLES,
 }
