@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, table
+from .common import as_bytes, fresh, table
 
 #: Bits of a word of the bitmap over ranks; a second word has a bit for each word.
-_SHIFT = 10
+_SHIFT = 8
 _WIDE = 1 << _SHIFT
 
 class Pieces(dict):
@@ -36,7 +36,7 @@ class Pieces(dict):
     again moves on. Forgetting costs time and changes no result.
     """
 
-    def __init__(self, merge, most: int = 1 << 18) -> None:
+    def __init__(self, merge, most: int = 1 << 19) -> None:
         self.merge, self.most, self.older = merge, most, {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -69,7 +69,7 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.single = [self.ranks[bytes([k])] for k in range(256)]
-        self.bits = [1 << k for k in range(_WIDE)]
+        self.bits = [1 << k for k in range(max(_WIDE, len(self.tokens) // _WIDE + 1))]
         self.pieces = Pieces(self.merged)
         self.plain = regex.compile(public_tokenizers.PATTERN)
         pattern, odd = public_tokenizers.PATTERN, set()
@@ -83,40 +83,38 @@ class Vocabulary:
 
     def merged(self, piece: bytes) -> Sequence[int]:
         """The ids of one piece: always the lowest rank of two neighbours is merged, of equal ones the leftmost."""
-        ranks, bits, n = self.ranks, self.bits, len(piece)
-        if (whole := ranks.get(piece)) is not None:
+        get, bits, n = self.ranks.get, self.bits, len(piece)
+        if (whole := get(piece)) is not None:
             return [whole]
         held = list if n < 4096 else _compact
         ids = held(map(self.single.__getitem__, piece))
         following, before = held(range(1, n + 1)), held(range(-1, n - 1))
-        waits = held(ranks.get(piece[k : k + 2], -1) for k in range(n))  # the rank of the pair that begins here, or -1
-        waits[n - 1] = -1
+        waits = held(get(piece[k : k + 2], -1) for k in range(n - 1))  # the rank of the pair that begins here, or -1
+        waits.append(-1)
         words, top, buckets = [0] * (len(self.tokens) // _WIDE + 1), 0, {}
-        fresh = enumerate(waits)
-        while True:
-            for k, rank in fresh:
-                if rank < 0:
-                    continue
-                if bucket := buckets.get(rank):
-                    heappush(bucket, k)
-                    continue
-                buckets[rank] = [k]
-                at = rank >> _SHIFT
-                if not words[at]:
-                    top |= bits[at]
-                words[at] |= bits[rank & _WIDE - 1]
-            if not top:
-                break
-            at = (top & -top).bit_length() - 1
-            first = words[at] & -words[at]
+        for k, rank in enumerate(waits):
+            if rank < 0:
+                continue
+            if rank in buckets:
+                buckets[rank].append(k)
+                continue
+            buckets[rank] = [k]
+            at = rank >> _SHIFT
+            top |= bits[at]
+            words[at] |= bits[rank & _WIDE - 1]
+        while top:
+            lowest = top & -top
+            at = lowest.bit_length() - 1
+            word = words[at]
+            first = word & -word
             rank = at << _SHIFT | first.bit_length() - 1
             bucket = buckets[rank]
             k = heappop(bucket)
             if not bucket:
-                words[at] ^= first
-                if not words[at]:
-                    top ^= bits[at]
-            fresh = ()
+                del buckets[rank]
+                words[at] = word = word ^ first
+                if not word:
+                    top ^= lowest
             if waits[k] != rank:
                 continue
             ids[k] = rank
@@ -125,12 +123,26 @@ class Vocabulary:
             waits[gone] = waits[k] = -1
             if after < n:
                 before[after] = k
-                waits[k] = right = ranks.get(piece[k : following[after]], -1)
-                fresh = ((k, right),)
+                if (rank := get(piece[k : following[after]], -1)) >= 0:
+                    waits[k] = rank
+                    if rank in buckets:
+                        heappush(buckets[rank], k)
+                    else:
+                        buckets[rank] = [k]
+                        at = rank >> _SHIFT
+                        top |= bits[at]
+                        words[at] |= bits[rank & _WIDE - 1]
             if k:
-                left = before[k]
-                waits[left] = rank = ranks.get(piece[left:after], -1)
-                fresh = (*fresh, (left, rank))
+                k = before[k]
+                waits[k] = rank = get(piece[k:after], -1)
+                if rank >= 0:
+                    if rank in buckets:
+                        heappush(buckets[rank], k)
+                    else:
+                        buckets[rank] = [k]
+                        at = rank >> _SHIFT
+                        top |= bits[at]
+                        words[at] |= bits[rank & _WIDE - 1]
         out, k = [], 0
         while k < n:
             out.append(ids[k])
@@ -235,13 +247,23 @@ def unpacked(ids: Column) -> Column:
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", back: str = "decoded") -> DataFrame:
-    """``docs`` with the packed ids of ``text`` and the bytes they decode to.
+    """``docs`` with the packed ids of ``text`` and the bytes they decode to, in one pass through Python.
 
     Rows, their order within a partition and all columns stay, repeated rows and
     null ids included; a null text counts as empty; an empty table stays empty.
     Columns of the names ``ids`` and ``back`` are replaced; no other name matters.
     """
-    return docs.withColumn(ids, encoded(F.col(text), path)).withColumn(back, decoded(F.col(ids), path))
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = vocabulary(path)
+        for column in columns:
+            packed = [known.encode(x.decode("utf-8", "replace")) for x in as_bytes(column)]
+            yield pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(map(known.decode, packed), pa.binary())], ["ids", "decoded"])
+
+    run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    (both,) = fresh(docs, "both")
+    coded = docs.withColumn(both, F.arrow_udf(run, "ids binary, decoded binary")(F.col(text)))
+    return coded.withColumns({ids: F.col(both)["ids"], back: F.col(both)["decoded"]}).drop(both)
 
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
