@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, checks, exact_dedup, lm_scoring, mixing, near_dedup, neighbours, packing, repeats, secrets, sharding, spelling, toxicity
+from . import bpe, checks, exact_dedup, lm_scoring, mixing, near_dedup, neighbours, packing, prefix_trie, repeats, secrets, sharding, spelling, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_repeats": repeats.op8_repeats,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_packing": packing.op10_packing,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_bpe": bpe.op12_bpe,
     "op13_spelling": spelling.op13_spelling,
     **checks.QUERIES,
@@ -24,6 +25,7 @@ QUERIES = {
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op5_lm_scoring": lm_scoring.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op13_spelling": spelling.ORACLE,
     **checks.ORACLES,
 }

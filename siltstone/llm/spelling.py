@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, table, written
+from .common import as_bytes, crc32_sql, table, written
 
 #: A node is the number of the first word that passes through it and, in the low bits, its depth.
 _DEPTH = 28
@@ -179,16 +179,6 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
-#: CRC-32 a bit at a time, as DuckDB has none.
-_CRC = """list_reduce(list_transform(range(0, octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::UINTEGER::BIGINT),
-  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))), 4294967295)"""
-
-
-def crc32_sql(text: str) -> str:
-    """DuckDB's SQL for the unsigned CRC-32 of an expression of ASCII or other text."""
-    return f"xor(({_CRC.format(text)}), 4294967295)"
-
-
 ORACLE = f"""
 WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
 t AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY 1, 2),
