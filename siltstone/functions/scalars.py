@@ -33,6 +33,12 @@ def same_person(one: Column, other: Column) -> Column:
     return (a == b) | ((a == first(a)) & (a == first(b))) | ((b == first(b)) & (b == first(a)))
 
 
+def is_author(reviewer: Column, *authors: Column) -> Column:
+    """Whether the reviewer's first name is that of one of the authors; a null or blank name is nobody's."""
+    first = lambda c: F.nullif(F.split(name_key(c), " ")[0], F.lit(""))
+    return F.coalesce(reduce(lambda a, b: a | b, (F.coalesce(first(reviewer) == first(x), F.lit(False)) for x in authors)), F.lit(False))
+
+
 def canonical_hash(**fields: Column) -> Column:
     """A stable digest of named values: the same whatever order they are given in."""
     return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"}), 256)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.scalars import is_author, name_key
+
 
 def broken(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """One row per broken rule: key, rule. A rule that is neither true nor false counts as broken."""
@@ -50,7 +52,7 @@ def review_status(decisions: DataFrame, needed: int = 1) -> DataFrame:
     """Per item: reject before fix before approved by enough reviewers before partial."""
     latest = decisions.groupBy("item_id", "reviewer").agg(F.max_by("decision", "seq").alias("decision"))
     n = latest.groupBy("item_id").agg(*(F.count_if(F.col("decision") == d).alias(d) for d in ("reject", "fix", "approve")))
-    return n.select("item_id", F.when(F.col("reject") > 0, "rejected").when(F.col("fix") > 0, "needs_fix").when(F.col("approve") >= needed, "approved").when(F.col("approve") > 0, "partial").otherwise("pending").alias("status"))
+    return n.select("item_id", _status(F.lit(needed)).alias("status"))
 
 
 def drift(one: DataFrame, other: DataFrame) -> DataFrame:
@@ -71,53 +73,78 @@ def score_rules(score: Column, provenance: Column, executed: Column, passed: Col
 def attempt_violations(attempts: DataFrame, runs: DataFrame) -> DataFrame:
     """Rules that a run breaks: run_id, rule.
 
-    ``attempts`` (run_id, attempt, has_retrieval), ``runs`` (run_id, system,
-    steps, max_steps, gate_ran, verdict, passed). Attempts are numbered from 0
-    without gaps and one more than the escalation steps; steps keep to their
-    bound; system A retrieves nothing, the others in every attempt; the gate
-    runs for system E only; verified means passed, refused not passed.
+    ``attempts`` (run_id, attempt, has_retrieval, gate_ran, passed), ``runs``
+    (run_id, system, steps, max_steps, exhausted, verdict). There is an attempt;
+    attempts are numbered from 0 without gaps and one more than the escalation
+    steps, which keep to their bound. System A retrieves nothing, the others in
+    every attempt. The gate runs in every attempt of system E and nowhere else, and the
+    systems without it make one attempt. Verified needs a gate that passed last,
+    insufficient_evidence one that failed last when nothing was left to try, and
+    unverified a system without a gate.
     """
-    n = attempts.groupBy("run_id").agg(F.count("*").alias("n"), F.countDistinct("attempt").alias("d"), F.min("attempt").alias("low"), F.max("attempt").alias("high"), F.count_if("has_retrieval").alias("r"))
-    both = runs.join(n, "run_id", "left").fillna(0, ["n", "d", "r"])
-    alone = F.col("system") == "A"
+    n = attempts.groupBy("run_id").agg(
+        F.count("*").alias("n"), F.countDistinct("attempt").alias("d"), F.min("attempt").alias("low"), F.max("attempt").alias("high"),
+        F.count_if("has_retrieval").alias("r"), F.count_if("gate_ran").alias("g"), F.max_by("passed", "attempt").alias("passed"),
+    )
+    both = runs.join(n, "run_id", "left").fillna(0, ["n", "d", "r", "g"])
+    gated, verdict, passed = F.col("system") == "E", F.col("verdict"), F.coalesce("passed", F.lit(False))
     rules = {
         "attempts_gapless": (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("d") == F.col("n")),
         "steps_match": F.col("steps") == F.col("n") - 1,
-        "steps_bounded": F.col("steps") <= F.col("max_steps"),
-        "retrieval_by_system": F.when(alone, F.col("r") == 0).otherwise(F.col("r") == F.col("n")),
-        "gate_iff_system_e": F.col("gate_ran") == (F.col("system") == "E"),
-        "verdict_follows": implies(F.col("verdict") == "verified", F.col("passed")) & implies(F.col("verdict") == "refused", ~F.col("passed")),
+        "steps_bounded": F.col("n") - 1 <= F.col("max_steps"),
+        "retrieval_by_system": F.when(F.col("system") == "A", F.col("r") == 0).otherwise(F.col("r") == F.col("n")),
+        "gate_iff_system_e": F.when(gated, F.col("g") == F.col("n")).otherwise(F.col("g") == 0),
+        "one_attempt_without_gate": gated | (F.col("n") == 1),
+        "verified_by_gate": implies(verdict == "verified", gated & passed),
+        "insufficient_when_exhausted": implies(verdict == "insufficient_evidence", gated & F.coalesce(~F.col("passed"), F.lit(False)) & F.coalesce("exhausted", F.lit(False))),
+        "unverified_without_gate": implies(verdict == "unverified", ~gated),
     }
     return broken(both, "run_id", rules)
 
 
-def label_rules(status: Column, split: Column, evidence: Column, relevant: Column) -> dict[str, Column]:
-    """Approval needs evidence, all of it in relevant files; labels of the test split are not to be had."""
+def label_rules(status: Column, split: Column, evidence: Column, relevant: Column, notes: Column, verified_by: Column) -> dict[str, Column]:
+    """A flagged label says why, any other has evidence; a verified one names who verified it; evidence lies in relevant files; none is of the test split."""
+    said = lambda c: F.coalesce(c, F.lit("")) != ""
     return {
-        "approved_has_evidence": implies(status == "approved", F.size(evidence) > 0),
+        "flagged_needs_notes": implies(status == "flagged", said(notes)),
+        "else_needs_evidence": (status == "flagged") | (F.size(evidence) > 0),
+        "verified_needs_name": implies(status == "verified", said(verified_by)),
         "evidence_is_relevant": F.size(F.array_except(evidence, relevant)) == 0,
-        "relevant_unless_draft": (status == "draft") | (F.size(relevant) > 0),
         "no_test_split": split != "test",
     }
 
 
 def binding_decisions(decisions: DataFrame, items: DataFrame) -> DataFrame:
-    """The decisions that count: on an item's present content, by somebody it is assigned to, who did not write it.
+    """The decisions that count: on an item's present content, by somebody who may decide on it and is no author of it.
 
     ``decisions`` (item_id, item_sha, reviewer, decision, seq), ``items``
-    (item_id, item_sha, author, assigned: an array of reviewers).
+    (item_id, item_sha, drafted_by, requested_by, assigned: an array of
+    reviewers). Without an assignment, null or empty, anybody may decide. A null
+    author is nobody.
     """
     held = decisions.join(items, ["item_id", "item_sha"])
-    return held.where((F.col("reviewer") != F.col("author")) & F.array_contains("assigned", F.col("reviewer"))).select("item_id", "reviewer", "decision", "seq")
+    open_to = (F.coalesce(F.size("assigned"), F.lit(0)) <= 0) | F.array_contains("assigned", F.col("reviewer"))
+    return held.where(~is_author(F.col("reviewer"), F.col("drafted_by"), F.col("requested_by")) & F.coalesce(open_to, F.lit(False))).select("item_id", "reviewer", "decision", "seq")
 
 
 def review_states(decisions: DataFrame, items: DataFrame) -> DataFrame:
-    """Per item (also undecided ones): its status; held-out items need two approvals."""
+    """Per item (also undecided ones): its status by each reviewer's latest binding decision; held-out items need two approvals."""
     latest = binding_decisions(decisions, items).groupBy("item_id", "reviewer").agg(F.max_by("decision", "seq").alias("decision"))
     n = latest.groupBy("item_id").agg(*(F.count_if(F.col("decision") == d).alias(d) for d in ("reject", "fix", "approve")))
     both = items.select("item_id", F.when(F.col("held_out"), 2).otherwise(1).alias("needed")).join(n, "item_id", "left").fillna(0, ["reject", "fix", "approve"])
-    status = F.when(F.col("reject") > 0, "rejected").when(F.col("fix") > 0, "needs_fix").when(F.col("approve") >= F.col("needed"), "approved").when(F.col("approve") > 0, "partial").otherwise("pending")
-    return both.select("item_id", status.alias("status"))
+    return both.select("item_id", _status(F.col("needed")).alias("status"))
+
+
+def _status(needed: Column) -> Column:
+    return F.when(F.col("reject") > 0, "rejected").when(F.col("fix") > 0, "needs_fix").when(F.col("approve") >= needed, "approved").when(F.col("approve") > 0, "partially_approved").otherwise("pending")
+
+
+def resolved_reviewers(names: DataFrame, roster: DataFrame) -> DataFrame:
+    """``names`` (name) with the one reviewer of ``roster`` (reviewer) whose full or first name it is; none or several raise, and the error names it."""
+    known = roster.select("reviewer", F.explode(F.array_distinct(F.array(name_key(F.col("reviewer")), F.split(name_key(F.col("reviewer")), " ")[0]))).alias("_key"))
+    hits = names.select("name").distinct().withColumn("_key", name_key(F.col("name"))).join(known, "_key", "left").groupBy("name").agg(F.count("reviewer").alias("_n"), F.min("reviewer").alias("reviewer"))
+    one = F.when(F.col("_n") == 1, F.col("reviewer")).otherwise(F.raise_error(F.concat(F.lit("not exactly one reviewer: "), F.coalesce("name", F.lit("null")))))
+    return names.join(hits.select("name", one.alias("reviewer")), "name", "left")
 
 
 def queue_clashes(queue: DataFrame, others: DataFrame) -> DataFrame:

@@ -64,11 +64,11 @@ def citations_grounded(spark: SparkSession, sf: str) -> DataFrame:
 def run_contract(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as runs and their user turns as attempts: how many break which rule."""
     c = read(spark, sf, "conversations")
-    attempts = c.where("role = 'user'").select(F.col("conv_id").alias("run_id"), F.floor(F.col("turn") / 2).alias("attempt"), (F.col("conv_id") % 5 != 0).alias("has_retrieval"))
     k = F.col("conv_id")
-    runs = c.select("conv_id").distinct().select(
-        k.alias("run_id"), F.when(k % 10 < 5, "A").when(k % 10 < 8, "C").otherwise("E").alias("system"), (k % 4).alias("steps"), F.lit(2).alias("max_steps"), (k % 3 == 0).alias("gate_ran"),
-        F.when(k % 6 == 0, "verified").when(k % 6 == 1, "refused").otherwise("unverified").alias("verdict"), (k % 4 != 0).alias("passed"),
+    attempts = c.where("role = 'user' and (conv_id % 3 = 2 or turn < 2 or conv_id % 17 = 0 and turn < 4) and not (conv_id % 19 = 5 and turn = 2)").select(k.alias("run_id"), F.floor(F.col("turn") / 2).alias("attempt"), ((k % 3 != 0) | (k % 7 == 0)).alias("has_retrieval"), ((k % 3 == 2) | (k % 11 == 0)).alias("gate_ran"), ((k + F.col("turn")) % 4 != 0).alias("passed"))
+    runs = c.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("asked")).select(
+        k.alias("run_id"), F.when(k % 3 == 0, "A").when(k % 3 == 1, "C").otherwise("E").alias("system"), F.when(k % 13 == 0, 2).when(k % 3 == 2, F.col("asked") - 1).otherwise(0).alias("steps"), F.lit(2).alias("max_steps"), (k % 5 != 0).alias("exhausted"),
+        F.when(k % 4 == 1, "insufficient_evidence").when(k % 4 == 2, "unverified").otherwise("verified").alias("verdict"),
     )
     return V.attempt_violations(attempts, runs).groupBy("rule").agg(F.count("*").alias("n"))
 
@@ -85,20 +85,25 @@ def score_contract(spark: SparkSession, sf: str) -> DataFrame:
 def label_contract(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as labels whose evidence are their parts' groups: how many break which rule."""
     groups = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 5).alias("evidence"), F.collect_set(F.col("l_suppkey") % 5).alias("relevant"))
-    o = read(spark, sf, "orders").join(groups, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    o, k = read(spark, sf, "orders").join(groups, F.col("o_orderkey") == F.col("l_orderkey"), "left"), F.col("o_orderkey")
     none = F.array().cast("array<bigint>")
-    status = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "draft").otherwise("review")
-    split = F.when(F.col("o_orderkey") % 10 == 0, "test").otherwise("dev")
-    return V.broken(o, "o_orderkey", V.label_rules(status, split, F.coalesce("evidence", none), F.coalesce("relevant", none))).groupBy("rule").agg(F.count("*").alias("n"))
+    status = F.when(F.col("o_orderstatus") == "F", "flagged").when(F.col("o_orderstatus") == "O", "draft").otherwise("verified")
+    split = F.when(k % 10 == 0, "test").otherwise("dev")
+    rules = V.label_rules(status, split, F.coalesce("evidence", none), F.coalesce("relevant", none), F.when(k % 3 == 0, "").when(k % 3 == 1, "no source says so"), F.when(k % 4 != 0, "Ada Lovelace"))
+    return V.broken(o, "o_orderkey", rules).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 def review_outcome(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as items and their lines as decisions by five reviewers, some on older content or on their own items."""
+    """Orders as items and their lines as decisions by five reviewers, some on older content, on their own items, or on items of others."""
     k = F.col("l_orderkey")
+    person = lambda c: F.concat(F.lit("Reviewer"), c % 5, F.lit(" Of The Shop"))
     decision = F.when(F.col("l_returnflag") == "R", F.when(k % 9 == 0, "reject").otherwise("fix")).otherwise("approve")
-    d = read(spark, sf, "lineitem").select(k.alias("item_id"), F.when(F.col("l_tax") > 0.06, "old").otherwise("new").alias("item_sha"), (F.col("l_suppkey") % 5).alias("reviewer"), decision.alias("decision"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq"))
+    d = read(spark, sf, "lineitem").select(k.alias("item_id"), F.when(F.col("l_tax") > 0.06, "old").otherwise("new").alias("item_sha"), person(F.col("l_suppkey")).alias("reviewer"), decision.alias("decision"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq"))
     n = F.col("o_orderkey")
-    items = read(spark, sf, "orders").select(n.alias("item_id"), F.lit("new").alias("item_sha"), (n % 5).alias("author"), F.array(n % 5, (n + 1) % 5, (n + 2) % 5).alias("assigned"), (n % 4 == 0).alias("held_out"))
+    items = read(spark, sf, "orders").select(
+        n.alias("item_id"), F.lit("new").alias("item_sha"), F.when(n % 6 != 0, F.concat(F.lit("reviewer"), n % 5)).alias("drafted_by"), F.when(n % 7 == 0, F.concat(F.lit("REVIEWER"), (n + 1) % 5, F.lit("  Someone"))).alias("requested_by"),
+        F.when(n % 3 == 0, F.array(person(n), person(n + 1), person(n + 2))).when(n % 3 == 1, F.array().cast("array<string>")).alias("assigned"), (n % 4 == 0).alias("held_out"),
+    )
     return V.review_states(d, items).groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -291,26 +296,31 @@ r AS (SELECT a.k, refusal, CASE WHEN cites THEN 2 ELSE 0 END AS n_citations, CAS
 t AS (SELECT n_citations, n_valid, CASE WHEN refusal THEN 0.5 WHEN n_citations = 0 THEN CASE WHEN chunks > 0 THEN 0.3 ELSE 0.5 END ELSE round(0.4 + 0.6 * n_valid / 2 - CASE WHEN held < 0.5 THEN 0.15 ELSE 0 END, 4) END::DOUBLE AS score,
   CASE WHEN refusal OR n_citations = 0 THEN chunks = 0 ELSE false END AS passed FROM r)
 SELECT n_citations::BIGINT AS n_citations, n_valid::BIGINT AS n_valid, score, passed, count(*) AS n FROM t GROUP BY 1, 2, 3, 4""",
-    "run_contract": """WITH a AS (SELECT conv_id AS k, turn // 2 AS attempt FROM conversations WHERE role = 'user'),
-n AS (SELECT k, count(*) AS n, count(DISTINCT attempt) AS d, min(attempt) AS low, max(attempt) AS high, count(*) FILTER (WHERE k % 5 <> 0) AS r FROM a GROUP BY k),
-b AS (SELECT c.k, coalesce(n, 0) AS n, coalesce(d, 0) AS d, low, high, coalesce(r, 0) AS r FROM (SELECT DISTINCT conv_id AS k FROM conversations) c LEFT JOIN n USING (k)),
-v AS (SELECT unnest([
-  CASE WHEN NOT coalesce(low = 0 AND high = n - 1 AND d = n, false) THEN 'attempts_gapless' END, CASE WHEN k % 4 <> n - 1 THEN 'steps_match' END, CASE WHEN k % 4 > 2 THEN 'steps_bounded' END,
-  CASE WHEN CASE WHEN k % 10 < 5 THEN r <> 0 ELSE r <> n END THEN 'retrieval_by_system' END, CASE WHEN (k % 3 = 0) <> (k % 10 >= 8) THEN 'gate_iff_system_e' END,
-  CASE WHEN k % 6 = 0 AND k % 4 = 0 OR k % 6 = 1 AND k % 4 <> 0 THEN 'verdict_follows' END]) AS rule FROM b)
-SELECT rule, count(*) AS n FROM v WHERE rule IS NOT NULL GROUP BY 1""",
+    "run_contract": """WITH a AS (SELECT conv_id AS k, turn // 2 AS i, conv_id % 3 <> 0 OR conv_id % 7 = 0 AS r, conv_id % 3 = 2 OR conv_id % 11 = 0 AS g, (conv_id + turn) % 4 <> 0 AS passed FROM conversations WHERE role = 'user' AND (conv_id % 3 = 2 OR turn < 2 OR conv_id % 17 = 0 AND turn < 4) AND NOT (conv_id % 19 = 5 AND turn = 2)),
+t AS (SELECT conv_id AS k, count(*) FILTER (WHERE role = 'user') AS asked FROM conversations GROUP BY 1),
+n AS (SELECT k, count(a.k) AS n, list(i ORDER BY i) FILTER (WHERE i IS NOT NULL) AS indices, coalesce(bool_or(r), false) AS some_r, coalesce(bool_and(r), true) AS all_r, coalesce(bool_or(g), false) AS some_g, coalesce(bool_and(g), true) AS all_g, arg_max(passed, i) AS last,
+  any_value(asked) AS asked FROM t LEFT JOIN a USING (k) GROUP BY k),
+b AS (SELECT *, ['A', 'C', 'E'][k % 3 + 1] AS s, CASE WHEN k % 13 = 0 THEN 2 WHEN k % 3 = 2 THEN asked - 1 ELSE 0 END AS steps,
+  CASE k % 4 WHEN 1 THEN 'insufficient_evidence' WHEN 2 THEN 'unverified' ELSE 'verified' END AS v FROM n),
+x AS (SELECT unnest([
+  CASE WHEN n = 0 OR indices <> range(n) THEN 'attempts_gapless' END, CASE WHEN steps <> n - 1 THEN 'steps_match' END, CASE WHEN n - 1 > 2 THEN 'steps_bounded' END,
+  CASE WHEN s = 'A' AND some_r OR s <> 'A' AND NOT all_r THEN 'retrieval_by_system' END, CASE WHEN s = 'E' AND NOT all_g OR s <> 'E' AND some_g THEN 'gate_iff_system_e' END,
+  CASE WHEN s <> 'E' AND n <> 1 THEN 'one_attempt_without_gate' END, CASE WHEN v = 'verified' AND NOT (s = 'E' AND coalesce(last, false)) THEN 'verified_by_gate' END,
+  CASE WHEN v = 'insufficient_evidence' AND NOT (s = 'E' AND last IS NOT NULL AND NOT last AND k % 5 <> 0) THEN 'insufficient_when_exhausted' END, CASE WHEN v = 'unverified' AND s = 'E' THEN 'unverified_without_gate' END]) AS rule FROM b)
+SELECT rule, count(*) AS n FROM x WHERE rule IS NOT NULL GROUP BY 1""",
     "score_contract": """SELECT rule, count(*) AS n FROM (SELECT unnest([
   CASE WHEN k % 4 = 0 AND k % 8 <> 0 THEN 'mock_is_no_evidence' END, CASE WHEN (k % 4 = 1) <> (k % 5 = 1) THEN 'cached_iff_source' END,
   CASE WHEN (k % 3 <> 0) <> (k % 6 <> 0) THEN 'score_iff_provenance' END, CASE WHEN k % 2 = 0 AND (k % 10 = 0 OR k % 7 = 0) THEN 'gate_reports' END]) AS rule FROM (SELECT event_id AS k FROM events)) WHERE rule IS NOT NULL GROUP BY 1""",
     "label_contract": """WITH g AS (SELECT l_orderkey AS k, list(DISTINCT l_partkey % 5) AS e, list(DISTINCT l_suppkey % 5) AS r FROM lineitem GROUP BY 1),
 b AS (SELECT o_orderkey AS k, o_orderstatus AS s, coalesce(e, []) AS e, coalesce(r, []) AS r FROM orders LEFT JOIN g ON g.k = o_orderkey)
-SELECT rule, count(*) AS n FROM (SELECT unnest([CASE WHEN s = 'F' AND len(e) = 0 THEN 'approved_has_evidence' END, CASE WHEN NOT list_has_all(r, e) THEN 'evidence_is_relevant' END,
-  CASE WHEN s <> 'O' AND len(r) = 0 THEN 'relevant_unless_draft' END, CASE WHEN k % 10 = 0 THEN 'no_test_split' END]) AS rule FROM b) WHERE rule IS NOT NULL GROUP BY 1""",
+SELECT rule, count(*) AS n FROM (SELECT unnest([CASE WHEN s = 'F' AND k % 3 <> 1 THEN 'flagged_needs_notes' END, CASE WHEN s <> 'F' AND len(e) = 0 THEN 'else_needs_evidence' END,
+  CASE WHEN s NOT IN ('F', 'O') AND k % 4 = 0 THEN 'verified_needs_name' END, CASE WHEN NOT list_has_all(r, e) THEN 'evidence_is_relevant' END, CASE WHEN k % 10 = 0 THEN 'no_test_split' END]) AS rule FROM b) WHERE rule IS NOT NULL GROUP BY 1""",
     "review_outcome": """WITH d AS (SELECT l_orderkey AS k, l_suppkey % 5 AS p, CASE WHEN l_returnflag <> 'R' THEN 'approve' WHEN l_orderkey % 9 = 0 THEN 'reject' ELSE 'fix' END AS d,
   row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 5 ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS r FROM lineitem
-  WHERE l_tax <= 0.06 AND l_suppkey % 5 IN ((l_orderkey + 1) % 5, (l_orderkey + 2) % 5)),
+  WHERE l_tax <= 0.06 AND NOT (l_orderkey % 6 <> 0 AND l_suppkey % 5 = l_orderkey % 5) AND NOT (l_orderkey % 7 = 0 AND l_suppkey % 5 = (l_orderkey + 1) % 5)
+    AND (l_orderkey % 3 <> 0 OR l_suppkey % 5 IN (l_orderkey % 5, (l_orderkey + 1) % 5, (l_orderkey + 2) % 5))),
 n AS (SELECT k, count(*) FILTER (WHERE d = 'reject') AS x, count(*) FILTER (WHERE d = 'fix') AS f, count(*) FILTER (WHERE d = 'approve') AS a FROM d WHERE r = 1 GROUP BY k)
-SELECT CASE WHEN x > 0 THEN 'rejected' WHEN f > 0 THEN 'needs_fix' WHEN a >= CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END THEN 'approved' WHEN a > 0 THEN 'partial' ELSE 'pending' END AS status, count(*) AS n
+SELECT CASE WHEN x > 0 THEN 'rejected' WHEN f > 0 THEN 'needs_fix' WHEN a >= CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END THEN 'approved' WHEN a > 0 THEN 'partially_approved' ELSE 'pending' END AS status, count(*) AS n
 FROM orders LEFT JOIN n ON k = o_orderkey GROUP BY 1""",
     "held_out_runs": """SELECT CASE WHEN event_id % 100 = 0 THEN 'repeated' ELSE 'not_final' END AS rule, count(*) AS n FROM events WHERE event_id % 50 = 0
   AND event_id <> (SELECT arg_min(event_id, (ts, event_id)) FROM events WHERE event_id % 100 = 0) GROUP BY 1""",
