@@ -141,7 +141,7 @@ def content_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def section_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    """Sections by headings; a line of capital letters counts as one here, as the texts have no markup."""
+    """Sections by Markdown headings; a document without any is one introduction."""
     lines = I.lines(read(spark, sf, "documents"), "doc_id", F.col("text"))
     return I.sections(lines, "doc_id", F.col("line").rlike(r"^(#{1,6})\s+(.+)$"), F.col("line"))
 
