@@ -10,10 +10,11 @@ from siltstone.functions import text as T
 from siltstone.operators import constraints as V
 from siltstone.operators import energy as J
 from siltstone.operators import evaluation as M
-from siltstone.operators import retrieval as R
 from siltstone.operators import stats as S
 from siltstone.operators import trials as A
+from siltstone.operators.text_index import TextIndex
 from siltstone.plans.retrieval_queries import SQL_BM25
+from siltstone.sources import storage
 from siltstone.sources.tables import read
 
 RANKED = """SELECT l_orderkey AS query_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS rank,
@@ -169,13 +170,23 @@ def cheapest_profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    """BM25 of short passages over documents of one language; the best score of all documents stays the scale, as the filter comes after."""
-    d = read(spark, sf, "documents")
+    """BM25 of short passages over documents of one language; the best score of all documents stays the scale, and nothing is cut before the filter."""
+    d = read(spark, sf, "documents").withColumn("artifact_type", F.col("lang"))
     q = read(spark, sf, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    found = R.bm25(q, d, T.code_tokens_in_batches, 1_000_000)
-    kept = found.join(d.where("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
-    kept = R.top(kept.drop("rank"), 5, "query_id", F.desc(F.round("raw_score", 9)), F.asc("doc_id"))
-    return kept.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    index = TextIndex(spark, storage.shared_path(spark, "index"), T.code_tokens_in_batches)
+    index.refresh(d)
+    return index.search(q, 5, artifact_types=("en",)).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def kept_index(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of other texts brought up to the documents in two refreshes: what every benchmark passage finds, as over the documents themselves."""
+    d, k = read(spark, sf, "documents").select("doc_id", "text"), F.col("doc_id")
+    index = TextIndex(spark, storage.shared_path(spark, "index"), T.code_tokens_in_batches)
+    older = d.where(k % 7 != 0).withColumn("text", F.when(k % 5 == 0, F.concat(F.lit("formerly "), "text")).otherwise(F.col("text")))
+    index.refresh(older.unionByName(d.where(k % 11 == 0).select((-k - 1).alias("doc_id"), "text")))
+    index.refresh(d)
+    q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return index.search(q, 10).select("query_id", "rank", "doc_id", F.round("raw_score", 6).alias("raw_score"), F.round("score", 6).alias("score"))
 
 
 def valid_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,7 +258,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         file_metrics_by_system, span_metrics_by_system, citations_grounded, run_contract, score_contract, label_contract, review_outcome, held_out_runs, energy_accounts, component_energy, fleiss_agreement, kendall_agreement, ledger_status,
-        language_mix, first_seen_types, cheapest_profiles, bm25_filtered, valid_items, study_outcome, split_items, indexed_files, history_artifacts, scalar_functions, evidence_prompts, strata_holm,
+        language_mix, first_seen_types, cheapest_profiles, bm25_filtered, kept_index, valid_items, study_outcome, split_items, indexed_files, history_artifacts, scalar_functions, evidence_prompts, strata_holm,
     )
 }
 
@@ -343,6 +354,7 @@ SELECT n::BIGINT AS n, k::BIGINT AS concordant, d::BIGINT AS discordant, round((
     "first_seen_types": "SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) AS position FROM events GROUP BY 1, 2",
     "cheapest_profiles": """SELECT s_nationkey AS tier, s_suppkey AS model_id, CASE WHEN s_acctbal <= 9000 THEN s_acctbal END AS cost FROM supplier
   QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY CASE WHEN s_acctbal <= 9000 THEN s_acctbal END NULLS LAST, s_suppkey) = 1""",
+    "kept_index": f"WITH {SQL_BM25} SELECT query_id, rank, doc_id, round(raw_score, 6) AS raw_score, round(score, 6) AS score FROM sparse WHERE rank <= 10",
     "bm25_filtered": f"""WITH {SQL_BM25}
 SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT s.query_id, s.doc_id, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY round(s.raw_score, 9) DESC, s.doc_id) AS rank
   FROM sparse s JOIN documents d USING (doc_id) WHERE d.lang = 'en' AND s.query_id % 10 = 0) WHERE rank <= 5""",
