@@ -54,29 +54,36 @@ class ThermalRule(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ts long, seq long", "unit_id string, status string, temp double")
+        self.waiting = handle.getListState("waiting", "ts long, seq long, unit_id string, status string, temp double")
         self.cooling = handle.getValueState("cooling", "cooling boolean")
         self.tried = handle.getMapState("tried", "unit_id string", "n int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for ts, seq, unit_id, status, temp in zip(batch.ts, batch.seq, batch.unit_id, batch.status, batch.temp, strict=True):
-                # A timer is of whole milliseconds: it goes off when all of its millisecond has passed.
-                at = ts.value // 1000
-                self.waiting.updateValue((at, int(seq)), (unit_id, status, None if pd.isna(temp) else float(temp)))
-                self.handle.registerTimer(at // 1000 + 1)
+        new = [(ts.value // 1000, int(seq), unit_id, status, None if pd.isna(temp) else float(temp)) for b in rows for ts, seq, unit_id, status, temp in zip(b.ts, b.seq, b.unit_id, b.status, b.temp, strict=True)]
+        if new:
+            self.waiting.appendList(new)
+            self._wake(new)
         return iter(())
 
+    def _wake(self, rows: list[tuple]) -> None:
+        """A timer for when all of the first row's millisecond has passed; later rows get theirs when it goes off."""
+        self.handle.registerTimer(min(r[0] for r in rows) // 1000 + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        due = sorted((k, v) for k, v in self.waiting.iterator() if k[0] < upto)
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
+        due, rest = [r for r in rows if r[0] < upto], [r for r in rows if r[0] >= upto]
         if not due:
             return
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest)
+        else:
+            self.waiting.clear()
         tried = {k[0]: v[0] for k, v in self.tried.iterator()}
         machine = Machine(*self.rule, self.cooling.exists() and self.cooling.get()[0], dict(tried))
         judged = []
-        for (at, seq), (unit_id, status, temp) in due:
-            self.waiting.removeKey((at, seq))
+        for _, seq, unit_id, status, temp in due:
             if found := machine.see(unit_id, status, temp):
                 judged.append((key[0], seq, unit_id, *found))
         self.cooling.update((machine.cooling,))
