@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -166,7 +166,8 @@ def nearest(
     """The ``k`` rows found nearest to each query: query_id, rank, vec_id, score.
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates
-    all rows but the query's own. Nearest is the largest cosine, ties go to
+    all rows but the query's own. Nearest is the largest cosine, taken of the
+    original vectors; cosines that agree to twelve decimals are a tie, which goes to
     the smaller vec_id. Rows with a null id or an unusable vector take no
     part; vectors meet those of their own length only. A vec_id that repeats
     with another vector is a candidate with each of them (not for itself), and
@@ -194,7 +195,7 @@ def nearest(
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = [hashed(len(u)).names(hashed(len(u)).cells(u / np.linalg.norm(u))[0])[0].tolist() for u in _units(batch, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.list_(pa.int64()))], ["key", "v", "names"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.list_(pa.int64()))], ["key", "v", "first", "names"])
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,10 +204,10 @@ def nearest(
                 names.append(np.concatenate(visited(hashed(len(u)), u / np.linalg.norm(u), probes)).tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.list_(pa.int64()))], ["key", "v", "names"])
 
-    kind = "key struct<a:long,b:long>, v array<double>, names array<long>"
+    kind = "key struct<a:long,b:long>, v array<double>, {}names array<long>"
     unit = F.struct(F.size("v").alias("dim"), F.pmod("name", F.lit(cells_per_table * tables)).alias("cell"))
-    placed = index.select("key", "v").mapInArrow(entries, kind).withColumn("name", F.explode("names")).select(unit.alias("unit"), "name", "key", "v")
-    queries = asking.mapInArrow(visits, kind)
+    placed = index.select("key", "v", F.get("ids", F.lit(0)).alias("first")).mapInArrow(entries, kind.format("first long, ")).withColumn("name", F.explode("names")).select(unit.alias("unit"), "name", "key", "v", "first")
+    queries = asking.mapInArrow(visits, kind.format(""))
     queries = queries.withColumn("name", F.explode("names")).select(unit.alias("unit"), "name", "key", "v")
     queries = queries.groupBy("unit", "key").agg(F.collect_list("name").alias("names"), F.first("v").alias("v"))
     large = written(placed.groupBy("unit").count().where(F.col("count") > unit_most).select("unit", F.ceil(F.col("count") / unit_most).cast("int").alias("pieces")), "neighbours-large")
@@ -216,16 +217,30 @@ def nearest(
     else:
         placed, queries = placed.withColumn("piece", F.lit(0)), queries.withColumn("piece", F.lit(0))
 
-    best = placed.groupBy("unit", "piece").cogroup(queries.groupBy("unit", "piece")).applyInArrow(_reranker(k + 1), "qa long, qb long, key struct<a:long,b:long>, score double")
-    merged = best.groupBy("qa", "qb", "key").agg(F.max("score").alias("score")).join(index.select("key", "ids"), "key")
-    listed = merged.select("qa", "qb", "score", F.explode("ids").alias("vec_id"))
-    order = "row_number() over (partition by {} order by score desc, vec_id)"
+    best = placed.groupBy("unit", "piece").cogroup(queries.groupBy("unit", "piece")).applyInArrow(_reranker(2 * (k + 1)), "qa long, qb long, key struct<a:long,b:long>, score double")
+    merged = best.groupBy("qa", "qb", "key").agg(F.max("score").alias("score")).join(index.select("key", "ids", "v"), "key")
+    nearest_keys = merged.withColumn("n", F.expr("row_number() over (partition by qa, qb order by round(score, 12) desc, ids[0])")).where(F.col("n") <= 2 * (k + 1))
+    asking = asking.select(F.col("key.a").alias("qa"), F.col("key.b").alias("qb"), F.col("v").alias("q"))
+    listed = nearest_keys.join(asking, ["qa", "qb"]).select("qa", "qb", cosine(F.col("q"), F.col("v")).alias("score"), F.explode("ids").alias("vec_id"))
+    order = f"row_number() over (partition by {{}} order by round(score, {DECIMALS}) desc, vec_id)"
     listed = listed.withColumn("n", F.expr(order.format("qa, qb"))).where(F.col("n") <= k + 1).drop("n")
     own = asked.select(F.col("vec_id").alias("query_id"), F.col("key.a").alias("qa"), F.col("key.b").alias("qb"))
     found = own.join(listed, ["qa", "qb"]).where("vec_id != query_id")
     return found.withColumn("rank", F.expr(order.format("query_id, qa, qb"))).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+#: Cosines that agree to so many decimals are a tie: what is left tells only how they were summed.
+DECIMALS = 12
+
+
+def cosine(one: Column, other: Column) -> Column:
+    """The cosine of two vectors of doubles, by one formula whichever rows they come from; each is first scaled by its largest component, so that nothing overflows and multiples agree."""
+    scaled = lambda v: F.transform(v, lambda x: x / F.array_max(F.transform(v, F.abs)))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    both = F.transform(F.array(F.named_struct(F.lit("a"), scaled(one), F.lit("b"), scaled(other))), lambda u: dot(u["a"], u["b"]) / (F.sqrt(dot(u["a"], u["a"])) * F.sqrt(dot(u["b"], u["b"]))))
+    return F.get(both, F.lit(0))
+
+
 def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     flat = np.concatenate([np.asarray(c.flatten(), np.float64) for c in column.chunks]).reshape(rows, -1)
     flat /= np.abs(flat).max(1, keepdims=True)
@@ -233,14 +248,14 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
 
 
 def _reranker(most: int):
-    """Exact cosines of a unit's queries with the entries of the buckets that they visit; the ``most`` best of each."""
+    """Cosines of a unit's queries with the entries of the buckets that they visit; the ``most`` best of each, of equal ones those of the smaller first id."""
 
     def rerank(entries: pa.Table, queries: pa.Table) -> pa.Table:
         if not entries.num_rows or not queries.num_rows:
             return _hits([], [], [], [], [])
         v, q = _matrix(entries["v"], entries.num_rows), _matrix(queries["v"], queries.num_rows)
         name = entries["name"].to_numpy()
-        order = np.argsort(name, kind="stable")
+        order = np.lexsort((entries["first"].to_numpy(), name))
         lists = queries["names"].to_pylist()
         who = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         wanted = np.fromiter((x for part in lists for x in part), np.int64, len(who))
@@ -254,20 +269,23 @@ def _reranker(most: int):
                 continue
             asking = who[starts[k] : starts[k + 1] if k + 1 < len(starts) else len(who)]
             there = order[low:high]
-            s = q[asking] @ v[there].T
+            s = np.round(q[asking] @ v[there].T, DECIMALS)
             if len(there) > most:
-                top = np.argpartition(-s, most - 1, axis=1)[:, :most]
-                s, there = np.take_along_axis(s, top, 1), there[top]
+                border = np.partition(s, len(there) - most, axis=1)[:, [len(there) - most]]
+                above, ties = s > border, s == border
+                rows, columns = np.nonzero(above | ties & (np.cumsum(ties, axis=1) <= most - above.sum(1, keepdims=True)))
             else:
-                there = np.broadcast_to(there, s.shape)
-            at_q.append(np.repeat(asking, s.shape[1]))
-            at_e.append(there.ravel())
-            score.append(s.ravel())
+                rows, columns = (x.ravel() for x in np.indices(s.shape))
+            at_q.append(asking[rows])
+            at_e.append(there[columns])
+            score.append(s[rows, columns])
         if not score:
             return _hits([], [], [], [], [])
         at_q, at_e, score = map(np.concatenate, (at_q, at_e, score))
-        by = np.lexsort((at_e, -score, at_q))
+        by = np.lexsort((entries["first"].to_numpy()[at_e], -score, at_q))
         at_q, at_e, score = at_q[by], at_e[by], score[by]
+        once = np.r_[True, (np.diff(at_q) != 0) | (np.diff(at_e) != 0)]
+        at_q, at_e, score = at_q[once], at_e[once], score[once]
         first = np.r_[0, np.flatnonzero(np.diff(at_q)) + 1]
         stays = np.arange(len(at_q)) - np.repeat(first, np.diff(np.r_[first, len(at_q)])) < most
         at_q, at_e, score = at_q[stays], at_e[stays], score[stays]
@@ -284,4 +302,5 @@ def _hits(qa, qb, ea, eb, score) -> pa.Table:
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows found of each query of ``embeddings``; nulls, ties, repeated ids and the empty table are as in ``nearest``."""
     return nearest(table(spark, sf_dir, "embeddings"))

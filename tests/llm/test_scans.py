@@ -237,6 +237,16 @@ def test_few_neighbours(spark):
     assert K.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("base", [[3.0, 1.0, 2.0], [0.1, 0.7, -0.3]])
+def test_parallel_vectors_are_ties(spark, base):
+    rng = np.random.default_rng(3)
+    rows = [(0, [1.0, 2.0, 3.0])] + [(k, [x * scale for x in base]) for k, scale in zip(range(1, 41), (rng.permutation(40) + 1.0).tolist(), strict=True)] + [(100 + k, [-1.0, -float(k + 1), 0.5]) for k in range(60) if (100 + k) % 50]
+    found = K.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).where("query_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [1, 2, 3, 4, 5]
+    want = np.dot(base, [1, 2, 3]) / np.linalg.norm(base) / np.sqrt(14)
+    assert all(abs(r.score - want) < 1e-12 for r in found)
+
+
 def test_perturbations_come_in_order():
     sets = K.perturbations(np.array([0.1, 0.5, 0.9]), 1.0, 12)
     cost = [sum((x if s < 0 else 1 - x) ** 2 for f, s in p for x in [[0.1, 0.5, 0.9][f]]) for p in sets]
