@@ -2,7 +2,7 @@
 
 Five transducers read the words of a clause as symbols. Those of insult and
 threat say what is done: an insult, one stacked upon another, a threat, which
-takes an intent or a victim beside its verb. Those of target, negation and
+takes a victim beside its verb. Those of target, negation and
 reported speech say how: aimed at somebody, denied, or only told. Their
 composition is one machine; each of its arcs that matches carries a kind, a
 frame and a weight. A clause's score is what its path gathers, a document's
@@ -41,6 +41,8 @@ TARGET = (
     "you", "your", "yours", "they", "them", "he", "him", "she", "her", "du", "dich", "dein", "ihr", "euch",
     "tu", "te", "vous", "votre", "toi", "tú", "usted", "ustedes", "vosotros",
 )
+#: Who suffers, also where they are named before the verb.
+OBJECT = ("him", "them", "dich", "euch", "te", "toi", "os")
 INTENT = (
     "will", "shall", "gonna", "going", "must", "should", "i'll", "we'll", "werde", "werden", "wirst", "sollte", "muss",
     "vais", "va", "allons", "dois", "doit", "voy", "vas", "vamos", "debe", "debo",
@@ -52,15 +54,20 @@ THREAT = (
     "matar", "mataré", "golpear", "quemar", "destruir", "herir", "aplastar", "pegar", "apuñalar",
 )
 
-CLAUSE = re.compile(r"[.,;:!?\n\r]+")
+CLAUSE = re.compile(r"[.,;!?\n\r]+")
+#: Within a clause, what a reporting verb reports follows after a colon; without one a colon ends a clause too.
+COLON = re.compile(r":+")
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 STEMS = (4, 5)
 HELD_OUT_OF = 5
 
+#: How many different words that only toxic texts have must share a beginning for it to be an entry.
+SHARED = 5
+
 #: What a word may be to the machines; of several the first. Which words are insults is learned.
-SYMBOLS = ("insult", "threat", "target", "negation", "reported", "intent", "other")
+SYMBOLS = ("insult", "threat", "object", "target", "negation", "reported", "intent", "other")
 CODE = {s: n for n, s in enumerate(SYMBOLS)}
-CLOSED = {w: CODE[s] for s, words in reversed((("threat", THREAT), ("target", TARGET), ("negation", NEGATION), ("reported", REPORTED), ("intent", INTENT))) for w in words}
+CLOSED = {w: CODE[s] for s, words in reversed((("threat", THREAT), ("object", OBJECT), ("target", TARGET), ("negation", NEGATION), ("reported", REPORTED), ("intent", INTENT))) for w in words}
 
 
 @dataclass(frozen=True)
@@ -77,27 +84,28 @@ def _insult(reach: int) -> Transducer:
 
 
 def _threat(reach: int) -> Transducer:
-    """Says threat where its verb comes within ``reach`` words after an intent, or a target within two after its verb.
+    """Says threat where a victim comes within ``reach`` words after its verb, or the verb within two after a victim in the case of one who suffers.
 
-    States: 0, the words left after an intent, and beyond them those after a verb.
+    States: 0, the words left after such a victim (1 and 2), and beyond them those after a verb.
+    A verb without a victim is none: one kills a process, burns a disc, beats eggs.
     """
 
     def step(q: int, x: str) -> tuple[int, str]:
-        meant, struck = 0 < q <= reach, q > reach
+        struck = q > 2
         if x == "threat":
-            return (0, "threat") if meant else (reach + 2, "")
-        if x == "target" and struck:
+            return (0, "threat") if 0 < q <= 2 else (reach + 2, "")
+        if x in ("target", "object") and struck:
             return 0, "threat"
-        if x == "intent":
-            return reach, ""
-        return (0 if q == reach + 1 else max(q - 1, 0)), ""
+        if x == "object":
+            return 2, ""
+        return (0 if q in (0, 1, 3) else q - 1), ""
 
     return Transducer(reach + 3, step)
 
 
-def _window(symbol: str, reach: int, mark: str) -> Transducer:
-    """Says ``mark`` for ``reach`` words after ``symbol``, and at it."""
-    return Transducer(reach + 1, lambda q, x: (reach, mark) if x == symbol else (max(q - 1, 0), mark if q else ""))
+def _window(symbols: tuple[str, ...], reach: int, mark: str) -> Transducer:
+    """Says ``mark`` for ``reach`` words after one of ``symbols``, and at it."""
+    return Transducer(reach + 1, lambda q, x: (reach, mark) if x in symbols else (max(q - 1, 0), mark if q else ""))
 
 
 def _latch(symbol: str, mark: str) -> Transducer:
@@ -129,9 +137,12 @@ def compose(*machines: Transducer) -> tuple[list[list[int]], list[list[int]]]:
     return then, matched
 
 
-THEN, MATCHED = compose(_insult(3), _threat(3), _window("target", 4, "aimed"), _window("negation", 3, "denied"), _latch("reported", "reported"))
-#: Where labels say nothing of an arc it keeps this: threats count though none was labelled, denied and reported offences don't.
+THEN, MATCHED = compose(_insult(3), _threat(2), _window(("target", "object"), 4, "aimed"), _window(("negation",), 3, "denied"), _latch("reported", "reported"))
+#: Where labels say nothing of an arc it keeps this. No labelled text threatens anybody, so the weight of a threat is set, not
+#: learned: against the base rate it makes one threat that has its victim toxic where the labels leave room, and denied and reported offences don't count.
 PRIOR = (0.0, 0.0, 0.0, *(8.0 if (k == "threat" and f in ("aimed", "plain")) else 0.2 if f in ("aimed", "plain") else 0.0 for k, f in ARCS))
+#: Where the machine stands when somebody has just been said to say something.
+TELLS = THEN[0][CODE["reported"]]
 #: What a threat weighs on its arc; an insult weighs what its entry does.
 THREAT_WEIGHT = 1.0
 
@@ -163,16 +174,28 @@ class Grammar:
             found = self.known[word] = symbol, weight or THREAT_WEIGHT
         return found
 
-    def path(self, words: list[str]) -> dict[int, float]:
-        """What one clause's path through the composed machine gathers, by arc; empty if it matches nothing."""
-        state, gathered = 0, {}
+    def path(self, words: list[str], state: int = 0) -> tuple[dict[int, float], bool]:
+        """What one clause's path through the composed machine gathers, by arc (empty if it matches nothing), and whether it has a reporting verb."""
+        gathered, reports = {}, False
         for word in words:
             symbol, weight = self.read(word)
             arc = MATCHED[state][symbol]
             if arc >= 0:
                 gathered[arc] = gathered.get(arc, 0.0) + weight
+            reports |= symbol == CODE["reported"]
             state = THEN[state][symbol]
-        return gathered
+        return gathered, reports
+
+    def clauses(self, text: str, offences: set[str]) -> Iterator[dict[int, float]]:
+        """What each clause with an offence gathers; after a colon, what a reporting verb before it reports."""
+        for sentence in CLAUSE.split(text):
+            state, found = 0, offences
+            for clause in COLON.split(sentence):
+                words = WORD.findall(clause)
+                if not found.isdisjoint(words) or ":" in sentence:
+                    gathered, reports = self.path(words, state)
+                    state = TELLS if reports or (state == TELLS and not words) else 0
+                    yield gathered
 
     def features(self, text: str) -> list[float]:
         """One, the heaviest matched clause, the number of them, and what each arc gathers over all."""
@@ -180,11 +203,7 @@ class Grammar:
         offences = {w for w in set(WORD.findall(low)) if self.read(w)[0] <= CODE["threat"]}
         heaviest, clauses, arcs = 0.0, 0, [0.0] * len(ARCS)
         if offences:
-            for clause in CLAUSE.split(low):
-                words = WORD.findall(clause)
-                if offences.isdisjoint(words):
-                    continue
-                gathered = self.path(words)
+            for gathered in self.clauses(low, offences):
                 if gathered:
                     clauses += 1
                     heaviest = max(heaviest, sum(x for arc, x in gathered.items() if ARCS[arc][1] in ("aimed", "plain")))
@@ -257,6 +276,12 @@ def _lexicon(train: DataFrame, least_sources: int, least_weight: float) -> dict[
     by_family = seen.select("toxic", "family", F.explode("entries").alias("entry")).distinct()
     counted = by_family.groupBy("entry").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (total[1] + 1)) - F.log((F.col("good") + 0.5) / (total[0] + 1))
+    counted = written(counted, "toxicity-entries-counted")
+    # A beginning says more than its words only where many of them say the same: path- is not an insult because pathetic is one.
+    word = F.col("entry")
+    telling = counted.where((F.col("good") == 0) & ~word.endswith("*")).select(F.explode(F.array(*(F.when(F.length(word) > n, F.concat(F.left(word, F.lit(n)), F.lit("*"))) for n in STEMS))).alias("entry"))
+    shared = telling.where("entry is not null").groupBy("entry").agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED).select("entry")
+    counted = counted.where(~word.endswith("*")).unionByName(counted.join(shared, "entry", "left_semi"))
     best = counted.where(F.col("bad") >= least_sources).withColumn("weight", odds).where(F.col("weight") >= least_weight)
     return {r["entry"]: r["weight"] for r in best.select("entry", "weight").collect()}
 

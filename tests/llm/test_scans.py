@@ -155,9 +155,11 @@ def test_grammar_composes_five_machines():
     assert arcs("she said he is an idiot") == {("insult", "reported"): 3.0} and arcs("what an idiot") == {("insult", "plain"): 3.0}
     assert arcs("not now. an idiot") == {("insult", "plain"): 3.0} and arcs("loweisch") == {("insult", "plain"): 2.0}
     assert arcs("you idiot, loweisch idiot") == {("insult", "aimed"): 3.0, ("insult", "plain"): 2.0, ("stacked", "plain"): 3.0}
-    assert arcs("I will kill you") == {("threat", "plain"): 1.0} and arcs("they will not kill") == {("threat", "denied"): 1.0}
+    assert arcs("I will kill you") == {("threat", "aimed"): 1.0} and arcs("they will not kill you") == {("threat", "denied"): 1.0}
     assert arcs("kill you") == {("threat", "aimed"): 1.0} and arcs("I don't want to burn it") == {} and arcs("burn the house down") == {}
-    assert arcs("he wrote: I will kill you") == {("threat", "plain"): 1.0} and arcs("he wrote that he will kill") == {("threat", "reported"): 1.0}
+    assert arcs("they will kill the process") == {} and arcs("ich werde dich töten") == {("threat", "aimed"): 1.0} and arcs("you kill time") == {}
+    assert arcs("he wrote: I will kill you") == {("threat", "reported"): 1.0} and arcs("he wrote that he will kill them") == {("threat", "reported"): 1.0}
+    assert arcs("note: I will kill you") == {("threat", "aimed"): 1.0} and arcs("he wrote. I will kill you") == {("threat", "aimed"): 1.0}
     assert g.features("")[1:] == [0.0] * (2 + len(T.ARCS))
     assert T.entries_of("don't Don't")[1] == ["don'*", "don't"]
 
@@ -266,3 +268,28 @@ def test_fit_settles_where_labels_are_told_apart():
     x = np.c_[np.ones(400), sums, np.log1p(sums > 0), sums, rng.standard_normal(400)]
     w = np.array(T.fit(x, toxic, np.zeros(5)))
     assert np.isfinite(w).all() and ((x @ w >= 0) == (toxic > 0)).all()
+
+
+HARMLESS = (
+    "These paths lead home.", "Pathology is a branch of medicine.", "The worth of these paths is clear.", "A disguise and a pathway to stupendous cloth.", "The kernel will kill the process; you must attack the problem.",
+    "We should burn the disc and shoot the film.", "They will beat the eggs and crush the grapes.", "You must smash the atoms: the beam will hurt nobody.", "The clover and the trasimene lake.", "Note: the moratorium ends.",
+)
+
+
+def test_harmless_prose_is_left_alone(spark):
+    grammar = T.learn(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    assert {t: round(grammar.score(t), 3) for t in HARMLESS if grammar.score(t) >= 0.1} == {}
+    assert min(map(grammar.score, ("You are pathetic and worthless.", "what a stupid idiot you are", "Such scum! Such trash!"))) > 0.9
+    plain = grammar.score("I will kill you.")
+    assert plain > 0.5
+    for told in ("He said: I will kill you", "She wrote :: I will kill you.", "The sheet says he will kill you", "They will never kill you."):
+        assert grammar.score(told) < 0.1 < plain, told
+    kept = T.drop_toxic(spark.createDataFrame([(k, t) for k, t in enumerate((*HARMLESS, "You stupid idiot."))], "doc_id long, text string"), grammar).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(len(HARMLESS)))
+
+
+def test_beginnings_need_many_words(spark):
+    rows = [(k, f"vexo{chr(97 + k % 9)}rt zz{k}a one", 1) for k in range(40)] + [(100 + k, f"plain{k} words pathetically", 0) for k in range(60)] + [(200 + k, f"pathetic yy{k}b", 1) for k in range(20)]
+    df = spark.createDataFrame([(k, t, y) for k, t, y in rows], "doc_id long, text string, toxic int")
+    entries = T._lexicon(df, 3, 1.0)
+    assert "vexo*" in entries and "pathetic" in entries and not [e for e in entries if e.startswith("path") and e.endswith("*")]
