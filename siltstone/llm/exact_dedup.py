@@ -213,7 +213,8 @@ def exact_duplicates(docs: DataFrame, bucket_bytes: int = 32 << 20) -> DataFrame
     one group. Of equal texts the smallest doc_id stays, a null one only if
     there is no other. Repeated rows count each in ``group_size``; rows that
     repeat the doc_id that stays are all marked kept (they can't be told
-    apart). Other columns of ``docs`` are not looked at. An empty table gives
+    apart). The id 2^63 - 1 stands for a null one within and comes back as null. Texts are
+    compared whole, whatever their length. Other columns of ``docs`` are not looked at. An empty table gives
     an empty result.
     """
     marked = _read(docs).mapInArrow(_digests, "doc_id long, digest binary").join(groups(docs, bucket_bytes), "digest")
@@ -227,7 +228,11 @@ def exact_duplicates(docs: DataFrame, bucket_bytes: int = 32 << 20) -> DataFrame
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; of rows repeated with the same id, one."""
+    """The documents that stay, with all their columns, whatever their names; of rows repeated with the same id, one.
+
+    Of equal texts the smallest id stays, a null one only if there is no other;
+    null and blank texts are one group. An empty table stays empty.
+    """
     doc, digest = fresh(docs, "_doc", "_digest")
     schema = T.StructType([*docs.schema.fields, T.StructField(digest, T.BinaryType())])
     at = docs.columns.index("text")
@@ -243,6 +248,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``exact_duplicates`` of all documents: nulls, blanks, ties, repeated rows, long texts and the empty table as there."""
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 

@@ -285,11 +285,16 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, with all columns of ``docs``; a document without words, or without an id, stays."""
+    """One document of each component, the one of the smallest id, with all columns of ``docs``.
+
+    A document without words, or without an id, stays. Rows that repeat the id that
+    stays all stay; an empty table stays empty; columns of other names are carried along unread.
+    """
     (stay,) = fresh(docs, "_stay")
     kept = near_components(docs, width, percent).where("kept").select(F.col("component_id").alias(stay)).distinct()
     return docs.where("doc_id is null").unionByName(docs.join(kept, F.col("doc_id") == F.col(stay), "left_semi"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_components`` of all documents by shingles of two words at a similarity of 0.8; nulls, short texts, repeated rows and the empty table as there."""
     return near_components(table(spark, sf_dir, "documents"), width=2, percent=80)

@@ -351,4 +351,5 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = 1024,
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pack`` of all documents into sequences of at most 1,024 tokens; nulls, empty texts, repeated rows and the empty table as there."""
     return pack(table(spark, sf_dir, "documents"))

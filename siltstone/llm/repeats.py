@@ -262,4 +262,5 @@ def _open_keys(docs: list[dict], packed: bytes, length: int) -> np.ndarray:
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repeated_spans`` of all documents, for strings of 200 bytes: what is removed and the hash of what is kept; nulls, repeated rows and the empty table as there."""
     return repeated_spans(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

@@ -340,7 +340,8 @@ def scores(docs: DataFrame, grammar: Grammar) -> DataFrame:
 def drop_toxic(docs: DataFrame, grammar: Grammar, reject_from: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is below ``reject_from``, with all their columns.
 
-    Null and empty texts match nothing and stay; repeated rows stay or go together.
+    Null and empty texts match nothing and stay, whatever their id; repeated rows
+    stay or go together; texts are read whole. An empty table stays empty.
     """
     at = docs.columns.index("text")
 
