@@ -17,27 +17,27 @@ from siltstone.llm.toxicity import drop_toxic, learn
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity grammar doesn't reject."""
+    """Documents that the toxicity grammar doesn't reject, whole rows; null and empty texts stay, repeated rows stay or go together, an empty table stays empty."""
     return drop_toxic(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest id."""
+    """Of equal texts the document with the smallest id, a null id last; null and blank texts are one group, rows repeated with one id are one, an empty table stays empty."""
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, 0.8), the document with the smallest id."""
+    """Of each group of near-duplicates (five-word shingles, 0.8) the document with the smallest id; documents without words or id stay, an empty table stays empty."""
     return drop_near_duplicates(docs, width=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources mixed to their target weights: a row for each document and pass with the words taken."""
+    """The sources mixed to their target weights: a row for each document and pass with the words taken; a null source is one of its own, texts without words give no row, an empty table stays empty."""
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in packed sequences."""
+    """The pieces of all documents in packed sequences; a null text counts as empty, repeated rows are packed each, an empty table gives no piece."""
     return pack(docs)
 
 
