@@ -13,7 +13,7 @@ from siltstone.operators import classify as C
 from siltstone.operators import draws as D
 from siltstone.operators import labels as L
 from siltstone.plans import adaptive
-from siltstone.sources import storage
+from siltstone.sources import changes, storage
 from siltstone.sources.tables import read
 from siltstone.streaming import runs
 
@@ -92,6 +92,18 @@ def borrowed_spans(spark: SparkSession, sf: str) -> DataFrame:
     return labels.select("task_id", "n_relevant_chunks").join(per, "task_id", "left")
 
 
+def arrived_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as files of JSON in two goes, read as they arrive by the source of changed files: the hash of each text."""
+    d, folder = read(spark, sf, "documents").select("doc_id", "text"), storage.shared_path(spark, "arriving")
+    out, state = storage.shared_path(spark, "arrived"), storage.shared_path(spark, "arrived-state")
+    for go in range(2):
+        d.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == go).repartition(2).write.option("ignoreNullFields", "false").json(f"{folder}/part{go}")
+        stream = changes.arriving(spark, folder).where(F.col("path").endswith(".json"))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    lines = spark.read.schema(changes.SCHEMA).parquet(out).select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line != ''")
+    return lines.select(F.from_json("line", "doc_id long, text string").alias("r")).select("r.doc_id", F.sha2("r.text", 256).alias("text_sha256"))
+
+
 TYPES = tuple(sorted(C.STRATEGY_OF_TYPE))
 LEVELS = ("low", "medium", "high", "critical")
 
@@ -109,7 +121,7 @@ def mode_plans(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(older)
 
 
-QUERIES = {f.__name__: f for f in (stream_thermal, ledger_resumed, drawn_sizes, borrowed_spans, mode_plans)}
+QUERIES = {f.__name__: f for f in (stream_thermal, ledger_resumed, drawn_sizes, borrowed_spans, mode_plans, arrived_items)}
 
 
 def _mixed(x: str, shift: int, times: int | None) -> str:
@@ -151,6 +163,7 @@ SELECT machine, seq, unit_id, CASE WHEN hot AND attempt = 2 THEN 'thermal_fail'
     "ledger_resumed": """
 SELECT CASE WHEN o_orderpriority = '5-LOW' AND o_custkey % 2 <> 0 THEN 'error' ELSE 'ok' END AS ends, count(*) AS n_units, count(*) + count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS n_rows FROM orders GROUP BY 1
 """,
+    "arrived_items": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents",
     "drawn_sizes": f"WITH {_SIZES} {_drawn_sql(5)} UNION ALL {_drawn_sql(20)}",
     "borrowed_spans": """
 WITH l AS (SELECT l_orderkey AS k, 'm' || l_partkey % 9 || '.py' AS file, l_quantity::BIGINT AS a, l_partkey % 7 AS d, l_partkey % 4 AS c, l_suppkey AS s FROM lineitem),
