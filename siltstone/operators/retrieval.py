@@ -16,8 +16,8 @@ from siltstone.sources.storage import written
 from siltstone.sources.tables import spread
 
 K1, B, DELTA = 1.5, 0.75, 1.0
-#: So many query rows (vectors, or terms of queries) are held by every task; more are joined.
-MOST_HELD = 100_000
+#: So many query rows (vectors, or terms of queries) and so many bytes of vectors are held by every task; more are joined.
+MOST_HELD, MOST_BYTES = 100_000, 128 << 20
 
 
 def small(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
@@ -39,7 +39,7 @@ def dense(queries: DataFrame, items: DataFrame, k: int, threshold: float = 0.0,
     """
     if metric in ("cosine", "dot"):
         asked_rows = queries.where("query_vector is not null").limit(MOST_HELD + 1).collect()
-        if len(asked_rows) <= MOST_HELD and len({len(r["query_vector"]) for r in asked_rows}) == 1:
+        if len(asked_rows) <= MOST_HELD and len({len(r["query_vector"]) for r in asked_rows}) == 1 and 8 * len(asked_rows) * len(asked_rows[0]["query_vector"]) <= MOST_BYTES:
             same = items.where(F.size("vector") == len(asked_rows[0]["query_vector"]))
             found = batches.dense_best(asked_rows, queries.schema["query_id"].dataType, same.where(~F.exists("vector", lambda x: x.isNull())), k, threshold, metric == "cosine", exclude_self)
             return top(found, k, "query_id", F.desc("score"), F.asc("item_id"))
@@ -110,8 +110,7 @@ def fuse(one: DataFrame, other: DataFrame, one_weight: Column, other_weight: Col
     b = other.select("query_id", "item_id", F.col("score").alias("sparse_score"), F.col("rank").alias("sparse_rank"))
     both = a.join(b, ["query_id", "item_id"], "full").fillna(0.0, ["dense_score", "sparse_score"])
     both = both.withColumn("score", one_weight * F.col("dense_score") + other_weight * F.col("sparse_score")).where(F.col("score") >= threshold)
-    order = F.coalesce("dense_rank", F.lit(1_000_000) + F.col("sparse_rank"))
-    return top(both.withColumn("_order", order), pool, "query_id", F.desc(F.round("score", 9)), F.col("_order"), F.col("item_id")).drop("_order", "dense_rank", "sparse_rank")
+    return top(both, pool, "query_id", F.desc(F.round("score", 9)), F.asc_nulls_last("dense_rank"), F.col("sparse_rank"), F.col("item_id")).drop("dense_rank", "sparse_rank")
 
 
 def rerank(ranked: DataFrame, relevance: Column, keep: int) -> DataFrame:
