@@ -12,7 +12,8 @@ THROTTLE_REASONS = {1: "gpu_idle", 2: "applications_clocks_setting", 4: "sw_powe
 
 
 def chunk_id(artifact_id: Column, index: Column) -> Column:
-    return F.concat_ws(":", artifact_id, index.cast("string"))
+    """A chunk's id: its artifact's, the word chunk, and its place from 0."""
+    return F.concat_ws(":", artifact_id, F.lit("chunk"), index.cast("string"))
 
 
 def short_node(node_id: Column) -> Column:

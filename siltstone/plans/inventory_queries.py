@@ -369,7 +369,7 @@ SELECT file, count(*) AS n, max((a, b))[1] AS start_line, max((a, b))[2] AS end_
     "history_artifacts": """SELECT 'RESOLVES' AS rel, count(*) AS n, count(DISTINCT o_orderkey) AS n_src, count(DISTINCT o_custkey) AS n_tgt FROM orders
 UNION ALL SELECT 'MODIFIES', count(*), count(DISTINCT a), count(DISTINCT b) FROM (SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem)
 UNION ALL SELECT 'AFFECTS', count(*), count(DISTINCT a), count(DISTINCT b) FROM (SELECT DISTINCT o_custkey AS a, l_partkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey)""",
-    "scalar_functions": """SELECT 'a/b.py:' || k % 3 AS node, 'r:p:' || k % 2 AS chunk, array_to_string(list_filter([CASE WHEN k & 1 > 0 THEN 'gpu_idle' END, CASE WHEN k & 2 > 0 THEN 'applications_clocks_setting' END, CASE WHEN k & 4 > 0 THEN 'sw_power_cap' END,
+    "scalar_functions": """SELECT 'a/b.py:' || k % 3 AS node, 'r:p:chunk:' || k % 2 AS chunk, array_to_string(list_filter([CASE WHEN k & 1 > 0 THEN 'gpu_idle' END, CASE WHEN k & 2 > 0 THEN 'applications_clocks_setting' END, CASE WHEN k & 4 > 0 THEN 'sw_power_cap' END,
   CASE WHEN k & 8 > 0 THEN 'hw_slowdown' END], lambda x: x IS NOT NULL), '|') AS reasons, CASE WHEN k % 2 = 0 THEN 'Class_1' ELSE 'Entity' END AS label, k % 3 = 0 AS same, length(s_name) // 4 AS tokens, count(*) AS n
 FROM (SELECT s_suppkey AS k, s_name FROM supplier) GROUP BY ALL""",
     "evidence_prompts": f"""SELECT query_id, sha256(string_agg('[' || rank || '] ' || replace(file, './', '') || CASE WHEN query_id % 2 = 0 THEN ' (Lines ' || start_line || '-' || end_line || ')' ELSE '' END || CASE WHEN rank = 1 THEN ' [f]' ELSE '' END

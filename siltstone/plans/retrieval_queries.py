@@ -210,11 +210,15 @@ def evidence_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 def passage_containment(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold a benchmark passage, word for word: candidates have the passage's longest word, then the texts decide."""
-    split = lambda df, key: df.select(key, T.words(F.col("text")).alias("w")).select(key, "w", F.array_join("w", " ").alias(f"{key}_text"))
+    documents, words = read(spark, sf, "documents").select("doc_id", "text"), T.words(F.col("text"))
+    joined = F.array_join("w", " ")
     longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
-    passages = R.small(split(read(spark, sf, "benchmark"), "item_id").select("item_id", "item_id_text", longest.alias("word")))
-    words = split(read(spark, sf, "documents"), "doc_id").select("doc_id", "doc_id_text", F.explode(F.array_distinct("w")).alias("word"))
-    return words.join(passages, "word").where(F.contains(F.col("doc_id_text"), F.col("item_id_text"))).select("item_id", "doc_id").distinct()
+    passages = R.small(read(spark, sf, "benchmark").select("item_id", words.alias("w")).select("item_id", joined.alias("passage"), longest.alias("word")))
+    # Only ids and words are spread out; a document's text is fetched for the passages that it may hold.
+    spread = documents.select("doc_id", F.explode(F.array_distinct(words)).alias("word"))
+    candidates = spread.join(passages, "word").select("doc_id", "item_id", "passage").distinct()
+    texts = documents.select("doc_id", words.alias("w")).select("doc_id", joined.alias("document"))
+    return candidates.join(texts, "doc_id").where(F.contains(F.col("document"), F.col("passage"))).select("item_id", "doc_id").distinct()
 
 
 QUERIES = {
