@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siltstone.operators import classify as C
 from siltstone.operators import draws as D
 from siltstone.operators import labels as L
+from siltstone.operators import stages as S
 from siltstone.plans import adaptive
 from siltstone.sources import changes, storage
 from siltstone.sources.tables import read
@@ -121,7 +122,18 @@ def mode_plans(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(older)
 
 
-QUERIES = {f.__name__: f for f in (stream_thermal, ledger_resumed, drawn_sizes, borrowed_spans, mode_plans, arrived_items)}
+def reranked_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of orders as retrieved rows, reranked by price, by quantity, not at all, or by a reranker that isn't there, as each order asks."""
+    li, k = read(spark, sf, "lineitem"), F.col("query_id")
+    place = F.expr("row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)")
+    ranked = li.select(F.col("l_orderkey").alias("query_id"), place.alias("rank"), F.col("l_partkey").alias("item_id"), "l_extendedprice", "l_quantity")
+    kind = F.when(k % 4 == 0, "price").when(k % 4 == 1, "quantity").when(k % 4 == 2, "none").otherwise("hosted")
+    plan = ranked.select("query_id").distinct().select("query_id", kind.alias("reranker_type"), (k % 3).cast("int").alias("keep"))
+    found = S.reranked(ranked, plan, {"price": F.col("l_extendedprice"), "quantity": F.col("l_quantity")})
+    return found.select("query_id", "rank", "rank_before", "item_id", F.col("rerank_score"), "applied", "error")
+
+
+QUERIES = {f.__name__: f for f in (stream_thermal, ledger_resumed, drawn_sizes, borrowed_spans, mode_plans, arrived_items, reranked_lines)}
 
 
 def _mixed(x: str, shift: int, times: int | None) -> str:
@@ -162,6 +174,12 @@ SELECT machine, seq, unit_id, CASE WHEN hot AND attempt = 2 THEN 'thermal_fail'
 """,
     "ledger_resumed": """
 SELECT CASE WHEN o_orderpriority = '5-LOW' AND o_custkey % 2 <> 0 THEN 'error' ELSE 'ok' END AS ends, count(*) AS n_units, count(*) + count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS n_rows FROM orders GROUP BY 1
+""",
+    "reranked_lines": """
+WITH l AS (SELECT l_orderkey AS k, l_partkey AS item_id, l_extendedprice AS p, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS before FROM lineitem),
+s AS (SELECT *, CASE k % 4 WHEN 0 THEN p WHEN 1 THEN q END AS score FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC NULLS LAST, before) AS rank FROM s)
+SELECT k AS query_id, rank::INT AS rank, before::INT AS rank_before, item_id, score AS rerank_score, k % 4 < 2 AS applied, CASE WHEN k % 4 = 3 THEN 'no reranker of type hosted' END AS error FROM r WHERE k % 4 >= 2 OR rank <= greatest(k % 3, 1)
 """,
     "arrived_items": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents",
     "drawn_sizes": f"WITH {_SIZES} {_drawn_sql(5)} UNION ALL {_drawn_sql(20)}",
