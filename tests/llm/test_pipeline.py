@@ -29,4 +29,4 @@ def test_run_on_an_empty_table(spark, tmp_path):
 
 def test_every_operator_is_registered():
     numbers = [int(n[2:].split("_")[0]) for n in QUERIES if n[:2] == "op" and n[2].isdigit()]
-    assert list(dict.fromkeys(numbers)) == list(range(1, 11))
+    assert list(dict.fromkeys(numbers)) == list(range(1, 14))
