@@ -53,8 +53,12 @@ def packed_texts(texts: list[bytes]) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
 
 
+def joined_texts(sizes: list[int], packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed, max_output_size=max(1, sum(sizes))) if packed else b""
+
+
 def texts_of(sizes: list[int], packed: bytes) -> list[bytes]:
-    joined = zstandard.ZstdDecompressor().decompress(packed, max_output_size=max(1, sum(sizes))) if packed else b""
+    joined = joined_texts(sizes, packed)
     ends = np.cumsum([0, *sizes]).tolist()
     return [joined[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 

@@ -4,14 +4,17 @@ A byte goes if a string of ``length`` bytes that covers it starts anywhere
 else too. Documents are cut into blocks; what the blocks exchange are packed
 counts of hashes (see ``blocks``), in two rounds.
 
-Round one: anchors. Of each window's short grams the one with the least hash
-is its anchor, which is chosen by content alone: equal windows have equal
-anchors. A window whose anchor gram occurs once in the corpus can't repeat.
-Also counted are stretches, from one anchor to a window's length past the
-next: where a stretch repeats, so does each window within it.
+Round one: anchors. Of the places in a window where a short gram fits, the
+anchor is the one whose first bytes have the least hash. It is chosen by
+content alone: equal windows have equal anchors. A window whose anchor gram
+occurs once in the corpus can't repeat. Also counted are stretches, from one
+anchor to a window's length past the next, and from and to a document's ends:
+where a stretch repeats, so does each window within it.
 
 Round two: the windows that this leaves open, mostly at the ends of repeats,
 are counted themselves.
+
+A block's documents are worked on together, in pieces that stay in the cache.
 """
 
 from __future__ import annotations
@@ -24,132 +27,179 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import REQUESTS, answers, blocks, by_block, packed_texts, parts_for, request_batches, requests, texts_of, totals
+from .blocks import REQUESTS, answers, blocks, by_block, joined_texts, packed_texts, parts_for, planes, request_batches, requests, totals, unplaned
 from .common import table, written
 from .shingles import eights, mixed
 
 GRAM_SHARE = 5  # a gram is a fifth of a window
+_PIECE = 1 << 15  # window starts worked on at once
 _ODD = mixed(np.arange(1, 1025, dtype=np.uint64)) | np.uint64(1)
 
 
-def _slide(x: np.ndarray, width: int, of: np.ufunc, fill: int) -> np.ndarray:
-    """``of`` over every ``width`` neighbours."""
-    n = len(x)
-    if n < width:
-        return x[:0]
-    wide = np.full(-(-n // width) * width, fill, np.uint64)
-    wide[:n] = x
-    rows = wide.reshape(-1, width)
-    ahead = of.accumulate(rows, axis=1).ravel()
-    behind = of.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return of(behind[: n - width + 1], ahead[width - 1 : n])
+def _sections(lengths: np.ndarray) -> np.ndarray:
+    """0 up to each of the lengths, one after the other."""
+    return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-class Hashed:
-    """The hashes of one document's substrings.
+def _hashes_at(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` bytes at each start.
 
-    A substring is taken as its groups of eight bytes, the last one reaching
-    back where the width is no multiple; each is mixed before they are summed
-    with odd factors, so no contents are equal by construction.
+    They are taken as groups of eight bytes, the last one reaching back where
+    the width is no multiple; each is mixed before they are summed with odd
+    factors, so no contents are equal by construction.
     """
-
-    def __init__(self, text: bytes, length: int) -> None:
-        self.n, self.length, self.gram = len(text), length, max(1, length // GRAM_SHARE)
-        self.groups = eights(np.frombuffer(text, np.uint8))
-        self.mixed = mixed(self.groups)
-
-    def _of_width(self, width: int, at) -> np.ndarray:
-        """``at`` gives, for an offset, the groups at that offset from each start."""
+    rows, edge, parts = np.lib.stride_tricks.sliding_window_view(data, width) if len(starts) else data, width - width % 8, -(-width // 8)
+    factors, places = _ODD[np.arange(parts) % len(_ODD)], np.arange(parts, dtype=np.uint64)
+    out, step = np.empty(len(starts), np.uint64), max(1, _PIECE // parts)
+    for low in range(0, len(starts), step):
+        held = rows[starts[low : low + step]]
+        if width < 8:
+            held = np.pad(held, ((0, 0), (0, 8 - width)))
+        elif edge < width:
+            held = np.concatenate([held[:, :edge], held[:, -8:]], axis=1)
+        groups = mixed(np.ascontiguousarray(held).view("<u8"))
+        groups *= factors
+        groups += places
+        out[low : low + step] = mixed(groups.sum(axis=1, dtype=np.uint64))
+    return out
+
+
+def _hashes_along(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every ``width`` bytes of ``data``: of groups of eight bytes, mixed, then of twice as many as long as they fit, the last one of two that overlap."""
+    n, out, step = len(data) - width + 1, [], max(_PIECE, width)
+    for low in range(0, n, step):
+        piece = data[low : low + step + width - 1]
+        groups, has = eights(piece)[: len(piece) - min(width, 8) + 1], 8
+        if width < 8:
+            groups <<= np.uint64(64 - 8 * width)
+        h, k = mixed(groups), 0
         with np.errstate(over="ignore"):
-            if width < 8:
-                return mixed(at(self.groups, 0) << np.uint64(64 - 8 * width))
-            total = None
-            for k, offset in enumerate([*range(0, width - 7, 8), *[width - 8] * (width % 8 > 0)]):
-                part = at(self.mixed, offset) * _ODD[k % len(_ODD)] + np.uint64(k)
-                total = part if total is None else total + part
-            return mixed(total)
-
-    def windows(self, starts: np.ndarray) -> np.ndarray:
-        return self._of_width(self.length, lambda x, offset: x[starts + offset])
-
-    def grams(self) -> np.ndarray:
-        count = self.n - self.gram + 1
-        return self._of_width(self.gram, lambda x, offset: x[offset : offset + count])
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each window's least gram hash; the anchors' positions; their hashes."""
-        grams = self.grams()
-        width = self.length - self.gram + 1
-        least = _slide(grams, width, np.minimum, (1 << 64) - 1)
-        edge = np.zeros(width - 1, np.uint64)
-        at = np.flatnonzero(_slide(np.r_[edge, least, edge], width, np.maximum, 0) == grams)
-        return least, at, grams[at]
-
-    def stretches(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For consecutive anchors: the first and last window start that their stretch decides, and its hash.
-
-        Anchors lie less than a window apart, so the windows at both cover the stretch.
-        """
-        at = at[at + self.length <= self.n]
-        low, high, hashes = at[:-1], at[1:], self.windows(at)
+            while has < width:
+                ahead = min(has, width - has)
+                x = h[:-ahead] * _ODD[k]
+                x ^= h[ahead:]
+                x ^= x >> np.uint64(32)
+                h, has, k = x, has + ahead, k + 1
+        out.append(h)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: the first window's start and the anchor, which is the first of several with one hash."""
+    n, width = len(data) - length + 1, length - gram + 1
+    starts, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(_PIECE, length)
+    places = np.arange(step + width, dtype=np.uint64)
+    place = np.uint64((1 << len(places).bit_length()) - 1)
+    for low in range(0, n, step):
+        many = min(step, n - low)
+        least = eights(data[low : low + many + length - 1])[: many + width - 1]
+        if gram < 8:
+            least <<= np.uint64(64 - 8 * gram)
         with np.errstate(over="ignore"):
-            return low, high, mixed(mixed(hashes[:-1] + (high - low).astype(np.uint64)) * _ODD[0] + hashes[1:])
+            least ^= least >> np.uint64(31)
+            least *= _ODD[0]
+            least ^= least >> np.uint64(32)
+            least *= _ODD[1]
+        least &= ~place
+        least |= places[: len(least)]
+        has = 1
+        while has < width:
+            ahead = min(has, width - has)
+            least, has = np.minimum(least[:-ahead], least[ahead:]), has + ahead
+        at = (least & place).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        starts.append(first + low)
+        found.append(at[first] + low)
+    start, anchor = np.concatenate(starts), np.concatenate(found)
+    new = np.r_[True, anchor[1:] != anchor[:-1]][: len(anchor)]
+    return start[new], anchor[new]
 
 
 class Anchored:
-    """What is kept of one document after its substrings are hashed."""
+    """The anchors and stretches of a block, whose documents of the given ``sizes`` lie end to end in ``data``."""
+
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, length: int) -> None:
+        gram = max(1, length // GRAM_SHARE)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        whole = sizes >= length
+        begin, last = (ends - sizes)[whole], ends[whole] - length
+        runs, anchors = _anchors(data, length, gram)
+        first = np.unique(np.concatenate([runs, begin, last + 1]))
+        doc = np.searchsorted(begin, first, "right") - 1
+        inside = (doc >= 0) & (first <= last[doc]) if len(begin) else np.zeros(len(first), bool)
+        self.start, doc, self.beyond = first[inside], doc[inside], last + 1
+        at = anchors[np.searchsorted(runs, self.start, "right") - 1]
+        self.grams = _hashes_at(data, at, gram)
+
+        fit = at <= last[doc]
+        every = np.arange(len(begin))
+        owner, points = np.concatenate([every, doc[fit], every]), np.concatenate([begin, at[fit], last])
+        order = np.lexsort((points, owner))
+        owner, points = owner[order], points[order]
+        head = np.r_[True, owner[1:] != owner[:-1]][: len(owner)]
+        hashes = _hashes_at(data, points, length)
+        low, high, head = np.arange(len(points) - 1), np.arange(1, len(points)), head[:-1]
+        begins = points[low] + 1 - head
+        some = (owner[low] == owner[high]) & (begins <= points[high])
+        low, high, head, self.decided = low[some], high[some], head[some], begins[some]
+        with np.errstate(over="ignore"):
+            gap = (points[high] - points[low]).astype(np.uint64) * np.uint64(2) + head
+            self.stretches = mixed(mixed(hashes[low] + gap) * _ODD[0] + hashes[high])
 
-    def __init__(self, text: bytes, length: int) -> None:
-        h = Hashed(text, length)
-        least, at, self.grams = h.anchors()
-        self.windows = len(least)
-        self.runs = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-        self.least = least[self.runs]
-        self.low, self.high, self.stretch = h.stretches(at)
+    def keys(self) -> np.ndarray:
+        return np.concatenate([self.grams, self.stretches])
 
-    def sorted_out(self, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the window starts: which are known to repeat, and which are to be counted.
+    def sorted_out(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of runs of window starts, by the counts of ``keys``: first, end, whether they are known to repeat, whether they are to be counted.
 
         A known window need not be counted only where every occurrence of its
         anchor lies in the same stretch, as then it is known at each of them.
+        A stretch from a document's begin counts by itself, as it alone
+        decides its first window.
         """
-        count = lambda x: counts[np.searchsorted(keys, x)].astype(np.int64)
-        often = np.zeros(self.windows, np.int64)
-        for begin, end, n in zip((self.low + 1).tolist(), (self.high + 1).tolist(), count(self.stretch).tolist(), strict=True):
-            if n > 1:
-                often[begin:end] = n
-        anchored = np.repeat(count(self.least), np.diff(np.r_[self.runs, self.windows]))
-        return often > 1, (anchored > 1) & (often != anchored)
+        first = np.unique(np.concatenate([self.start, self.decided]))
+        anchored = counts[: len(self.grams)][np.searchsorted(self.start, first, "right") - 1]
+        often = counts[len(self.grams) :][np.searchsorted(self.decided, first, "right") - 1]
+        edge = np.searchsorted(self.beyond, first, "right")
+        end = np.minimum(np.append(first[1:], self.beyond[-1:]), self.beyond[edge])
+        return first, end, often > 1, (anchored > 1) & (often != anchored)
 
 
-def _anchored(texts: list[bytes], length: int) -> list[Anchored | None]:
-    return [Anchored(t, length) if len(t) >= length else None for t in texts]
+def _anchored(sizes: list[int], text: bytes, length: int) -> Anchored:
+    return Anchored(np.frombuffer(text, np.uint8), np.array(sizes, np.int64), length)
 
 
-def _first_keys(docs: list[Anchored | None]) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint64), *(x for d in docs if d for x in (d.grams, d.stretch))])
+def _covered(first: np.ndarray, end: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal runs of bytes within a document that windows from ``first`` up to ``end`` cover: their documents, starts and ends."""
+    order = np.argsort(first, kind="stable")
+    first, end = first[order], end[order] - 1 + length
+    doc = np.searchsorted(begins, first, "right") - 1
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (first[1:] > np.maximum.accumulate(end)[:-1])][: len(first)]
+    heads = np.flatnonzero(new)
+    return doc[heads], first[heads], np.maximum.reduceat(end, heads) if len(heads) else end
 
 
-def spans_of(starts: np.ndarray, length: int, size: int) -> list[tuple[int, int]]:
-    """The maximal runs of bytes that the windows at ``starts`` cover."""
-    if not len(starts):
-        return []
-    breaks = np.flatnonzero(np.diff(starts) > length)
-    first, last = starts[np.r_[0, breaks + 1]], starts[np.r_[breaks, len(starts) - 1]]
-    return [(a, min(b + length, size)) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+def _each(sizes: list[int], text: bytes, runs: tuple[np.ndarray, np.ndarray], length: int) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
+    """Each document's bytes and its spans, from the block's repeated windows."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    doc, low, high = _covered(*runs, ends - np.array(sizes, np.int64), length)
+    at = np.searchsorted(doc, np.arange(len(sizes) + 1)).tolist()
+    low, high = low.tolist(), high.tolist()
+    for k, (size, end) in enumerate(zip(sizes, ends.tolist(), strict=True)):
+        begin, spans = end - size, range(at[k], at[k + 1])
+        yield text[begin:end], [(low[i] - begin, high[i] - begin) for i in spans]
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-OPEN = "block long, n_open long, docs array<struct<doc_id:long,size:long,known:binary,open:binary>>, texts binary"
-_OPEN = pa.list_(pa.struct([("doc_id", pa.int64()), ("size", pa.int64()), ("known", pa.binary()), ("open", pa.binary())]))
+OPEN = "block long, n_open long, doc_ids array<long>, sizes array<long>, runs array<binary>, texts binary"
 
 
 def _results(rows: list[tuple], with_text: bool) -> dict[str, pa.Array]:
-    """Of (doc_id, text, starts of repeated windows, length): the columns of RESULT."""
+    """Of (doc_id, text, spans): the columns of RESULT."""
     out: dict[str, list] = {c.split()[0]: [] for c in ("doc_id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept")}
-    for key, text, starts, length in rows:
-        spans = spans_of(starts, length, len(text))
+    for key, text, spans in rows:
         kept = _without(text, spans)
         values = (key, len(text), len(text) - len(kept), [{"start": a, "end": b} for a, b in spans], hashlib.sha256(kept).hexdigest(), kept if with_text else None)
         for c, v in zip(out, values, strict=True):
@@ -168,6 +218,40 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def _packed_run(ascending: np.ndarray) -> bytes:
+    return planes(np.diff(ascending, prepend=0).astype("<i8")) if len(ascending) else b""
+
+
+def _run(packed: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(packed, "<i8")) if packed else np.zeros(0, np.int64)
+
+
+def _opened(ids: list, sizes: list[int], text: bytes, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, list]:
+    """Which documents have open windows; those as one row: number of windows, ids, sizes, runs (known and open, as first and end in the joined texts), texts."""
+    first, end, known, unsure = found
+    ends = np.cumsum(sizes, dtype=np.int64)
+    begins, owner = ends - np.array(sizes, np.int64), np.searchsorted(ends, first, "right")
+    some = np.zeros(len(sizes), bool)
+    some[owner[unsure]] = True
+    moved = np.cumsum(np.where(some, sizes, 0)) - ends
+    runs = [x[which] + moved[owner[which]] for which in (known & some[owner], unsure) for x in (first, end)]
+    picked = np.flatnonzero(some).tolist()
+    texts = packed_texts([text[begins[k] : ends[k]] for k in picked])
+    return some, [int((runs[3] - runs[2]).sum()), [ids[k] for k in picked], [sizes[k] for k in picked], [_packed_run(x) for x in runs], texts]
+
+
+def _open_windows(runs: list[bytes], text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The open windows of a block, and their hashes."""
+    first, end = (_run(x) for x in runs[2:])
+    new = np.r_[True, first[1:] > end[:-1]][: len(first)]
+    low, high = first[new], end[np.r_[new[1:], True][: len(end)]]
+    cut = np.frombuffer(b"".join(text[a : b + length - 1] for a, b in zip(low.tolist(), high.tolist(), strict=True)), np.uint8)
+    many = high - low
+    places = _sections(many)
+    at = np.cumsum(many + length - 1) - (many + length - 1)
+    return places + np.repeat(low, many), _hashes_along(cut, length)[places + np.repeat(at, many)]
+
+
 def repeated_spans(docs: DataFrame, length: int = 200, with_text: bool = True, part_keys: int = 1_500_000) -> DataFrame:
     """For each row of ``docs``: doc_id, n_bytes, n_removed, spans (start, end: the bytes that repeat), kept_sha256 and kept (the other bytes; null unless ``with_text``).
 
@@ -184,7 +268,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, with_text: bool = True, p
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for number, sizes, packed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    yield from requests(number, *np.unique(_first_keys(_anchored(texts_of(sizes, packed), length)), return_counts=True), parts)
+                    yield from requests(number, *np.unique(_anchored(sizes, joined_texts(sizes, packed), length).keys(), return_counts=True), parts)
 
         return request_batches(rows())
 
@@ -193,74 +277,55 @@ def repeated_spans(docs: DataFrame, length: int = 200, with_text: bool = True, p
         done, opened, counts = [], [], answers(answered)
         for k in range(block.num_rows):
             ids, sizes, packed = (block[c][k].as_py() for c in ("doc_ids", "sizes", "texts"))
-            texts = texts_of(sizes, packed)
-            found = _anchored(texts, length)
-            keys = np.unique(_first_keys(found))
+            text = joined_texts(sizes, packed)
+            anchored = _anchored(sizes, text, length)
+            keys, where = np.unique(anchored.keys(), return_inverse=True)
             if len(keys) != len(counts):
                 raise ValueError("a block's keys and their counts don't match")
-            docs, left, n_open = [], [], 0
-            for key, text, doc in zip(ids, texts, found, strict=True):
-                known, unsure = doc.sorted_out(keys, counts) if doc else (np.zeros(0, bool), np.zeros(0, bool))
-                if unsure.any():
-                    n_open += int(unsure.sum())
-                    left.append(text)
-                    docs.append({"doc_id": key, "size": len(text), "known": np.packbits(known).tobytes(), "open": np.packbits(unsure).tobytes()})
-                else:
-                    done.append((key, text, np.flatnonzero(known), length))
-            if docs:
-                opened.append((block["block"][k].as_py(), n_open, docs, packed_texts(left)))
-        number, n_open, docs, left = zip(*opened, strict=True) if opened else ((), (), (), ())
+            first, end, known, unsure = found = anchored.sorted_out(counts[where])
+            some, row = _opened(ids, sizes, text, found)
+            for key, left, (one, spans) in zip(ids, some.tolist(), _each(sizes, text, (first[known], end[known]), length), strict=True):
+                if not left:
+                    done.append((key, one, spans))
+            if some.any():
+                opened.append([block["block"][k].as_py(), *row])
         columns = {c: pa.concat_arrays([x, pa.nulls(len(opened), x.type)]) for c, x in _results(done, with_text).items()}
-        for c, x, kind in (("block", number, pa.int64()), ("n_open", n_open, pa.int64()), ("docs", docs, _OPEN), ("texts", left, pa.binary())):
-            columns[c] = pa.array([None] * len(done) + list(x), kind)
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary())
+        for k, (c, kind) in enumerate(zip(("block", "n_open", "doc_ids", "sizes", "runs", "texts"), kinds, strict=True)):
+            columns[c] = pa.array([None] * len(done) + [row[k] for row in opened], kind)
         return pa.table(columns)
 
     first = totals(cut.select("block", "sizes", "texts").mapInArrow(ask, REQUESTS), parts)
     half = written(by_block(cut, first, sift, f"{RESULT}, {OPEN}"), "repeats-half")
-    opened = half.where("block is not null").select("block", "docs", "texts")
+    opened = half.where("block is not null").select("block", "doc_ids", "sizes", "runs", "texts")
     left = half.agg(F.sum("n_open")).first()[0] or 0
     more = int(left / part_keys) + 1
 
     def ask_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for number, docs, left in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    yield from requests(number, *np.unique(_open_keys(docs, left, length), return_counts=True), more)
+                for number, sizes, runs, packed in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                    yield from requests(number, *np.unique(_open_windows(runs, joined_texts(sizes, packed), length)[1], return_counts=True), more)
 
         return request_batches(rows())
 
     def settle(block: pa.Table, answered: pa.Table) -> pa.Table:
         rows, counts = [], answers(answered)
         for k in range(block.num_rows):
-            docs, left = block["docs"][k].as_py(), block["texts"][k].as_py()
-            texts = texts_of([d["size"] for d in docs], left)
-            hashes = [Hashed(t, length).windows(_open(d, length)) for d, t in zip(docs, texts, strict=True)]
-            keys = np.unique(np.concatenate(hashes))
-            for d, text, h in zip(docs, texts, hashes, strict=True):
-                known = _bits(d["known"], d["size"] - length + 1)
-                known[_open(d, length)[counts[np.searchsorted(keys, h)] > 1]] = True
-                rows.append((d["doc_id"], text, np.flatnonzero(known), length))
+            ids, sizes, runs, packed = (block[c][k].as_py() for c in ("doc_ids", "sizes", "runs", "texts"))
+            text = joined_texts(sizes, packed)
+            starts, hashes = _open_windows(runs, text, length)
+            hit = starts[counts[np.unique(hashes, return_inverse=True)[1]] > 1]
+            first, end = (_run(x) for x in runs[:2])
+            spans = _each(sizes, text, (np.r_[first, hit], np.r_[end, hit + 1]), length)
+            rows += [(key, *found) for key, found in zip(ids, spans, strict=True)]
         return pa.table(_results(rows, with_text))
 
-    second = totals(opened.mapInArrow(ask_again, REQUESTS), more)
+    second = totals(opened.select("block", "sizes", "runs", "texts").mapInArrow(ask_again, REQUESTS), more)
     settled = by_block(opened, second, settle, RESULT)
     return half.where("block is null").select(*settled.columns).union(settled)
 
 
-def _bits(packed: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
-
-
-def _open(d: dict, length: int) -> np.ndarray:
-    return np.flatnonzero(_bits(d["open"], d["size"] - length + 1))
-
-
-def _open_keys(docs: list[dict], packed: bytes, length: int) -> np.ndarray:
-    """The hashes of a block's open windows."""
-    texts = texts_of([d["size"] for d in docs], packed)
-    return np.concatenate([Hashed(t, length).windows(_open(d, length)) for d, t in zip(docs, texts, strict=True)])
-
-
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``repeated_spans`` of all documents, for strings of 200 bytes: what is removed and the hash of what is kept; nulls, repeated rows and the empty table as there."""
     return repeated_spans(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
