@@ -93,14 +93,20 @@ def borrowed_spans(spark: SparkSession, sf: str) -> DataFrame:
     return labels.select("task_id", "n_relevant_chunks").join(per, "task_id", "left")
 
 
+#: Documents in a file that arrives. A file's content is one value, so files are many rather than large.
+FILE_ROWS = 100
+#: Bytes of whole files that Parquet's writer and reader hold at once.
+GROUP_BYTES = 16 << 20
+
+
 def arrived_items(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written as files of JSON in two goes, read as they arrive by the source of changed files: the hash of each text."""
     d, folder = read(spark, sf, "documents").select("doc_id", "text"), storage.shared_path(spark, "arriving")
     out, state = storage.shared_path(spark, "arrived"), storage.shared_path(spark, "arrived-state")
     for go in range(2):
-        d.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == go).repartition(2).write.option("ignoreNullFields", "false").json(f"{folder}/part{go}")
+        d.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == go).write.options(ignoreNullFields="false", maxRecordsPerFile=FILE_ROWS).json(f"{folder}/part{go}")
         stream = changes.arriving(spark, folder).where(F.col("path").endswith(".json"))
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        stream.writeStream.format("parquet").option("parquet.block.size", str(GROUP_BYTES)).option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     lines = spark.read.schema(changes.SCHEMA).parquet(out).select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line != ''")
     return lines.select(F.from_json("line", "doc_id long, text string").alias("r")).select("r.doc_id", F.sha2("r.text", 256).alias("text_sha256"))
 
