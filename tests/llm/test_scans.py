@@ -302,6 +302,16 @@ def test_recall_is_held_where_buckets_are_narrow(spark):
     assert sum(hits) / (5 * len(hits)) >= 0.9
 
 
+def test_neighbours_are_exact(spark):
+    v = np.random.default_rng(9).standard_normal((3000, 16)).astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(v)], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in K.nearest(df, tables=4, probes=6, unit_most=700).orderBy("rank").collect():
+        found[r.query_id].append(r.vec_id)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    assert dict(found) == {q: np.argsort(-(v @ v[q]))[1:6].tolist() for q in range(0, 3000, 50)}
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, round(r.score, 6)) for r in K.nearest(df).orderBy("rank").collect()] == [(2, 0.707107), (1, 0.0)]
